@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import linededup, sharding, simhash, tokenfiles
+from tessel.llm import linededup, pii, secrets, sharding, simhash, tokenfiles
 from tessel.llm.common import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,15 @@ def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.protect(table(spark, sf_dir, "documents"))
+
+
+def op9_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # A document's source stands for the owner, and source with language for the repository.
+    return secrets.find_secrets(table(spark, sf_dir, "documents"), owner="source", repo=("source", "lang"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = linededup.dedupe_lines(table(spark, sf_dir, "documents"))
     return lines.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -47,6 +56,8 @@ def queries() -> dict[str, Query]:
         "op1_token_files": op1_token_files,
         "op2_simhash": op2_simhash,
         "op6_virtual_slots": op6_virtual_slots,
+        "op7_disclosure": op7_disclosure,
+        "op9_ownership": op9_ownership,
         "op10_line_dedup": op10_line_dedup,
     }
 
