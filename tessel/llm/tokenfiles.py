@@ -17,7 +17,8 @@ import os
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -28,19 +29,25 @@ from pyspark.sql import functions as F
 
 from tessel.llm.common import cut, shared_dir
 
-#: Entries that a worker remembers; a larger set of words is forgotten and learnt again.
-CACHE_ENTRIES = 400_000
-_UNIT = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+\Z")
+#: Entries that a worker remembers; a larger set of units is forgotten and learnt again.
+CACHE_ENTRIES = 1_000_000
+#: Characters that are cut into units at a time.
+_SLICE = 1 << 21
+#: Letters for certain, so that a token never goes on from one of them to a full stop or comma.
+_LETTER = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
+_UNIT = re.compile(rf"[ \t\n\r]*[{_LETTER}]+(?=[ \t\n\r.,]|\Z)|[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+\Z")
 #: White space of any kind but these four: texts with such characters are not cut into units.
 _ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_ODD_ASCII = re.compile("[\x0b\x0c\x1c-\x1f]")
 MANIFEST = "part int, stem string, n_null long, n_docs long, n_tokens long, width int"
 
 
 class Encoder:
     """Texts to ids as bytes, with the tokenizers library.
 
-    A byte-level BPE never merges over the start of white space, so a text's ids are those of its units (white
-    space and the word after it) end to end, and a unit's ids are looked up once and remembered.
+    A byte-level BPE never merges over the start of white space, nor from a letter to a full stop or comma, so a
+    text's ids are those of its units (white space and the word after it, or the mark after a word) end to end,
+    and a unit's ids are looked up once and remembered.
     """
 
     def __init__(self, path: str):
@@ -56,25 +63,49 @@ class Encoder:
         done = self.model.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.dtype).tobytes() for e in done]
 
-    def _learn(self, units: list[str]) -> None:
-        if len(self.known) + len(units) > CACHE_ENTRIES:
+    def _join(self, lists: list[list[str]]) -> list[bytes]:
+        """The ids of each list of units; what is new among all of them is encoded in one go."""
+        found = [list(map(self.known.get, units)) for units in lists]
+        new = list({u for units, ids in zip(lists, found) if None in ids for u, i in zip(units, ids) if i is None})
+        fresh: dict[str, bytes] = {}
+        for k in range(0, len(new), 1024):
+            fresh.update(zip(new[k : k + 1024], self._encode(new[k : k + 1024])))
+        if len(self.known) + len(fresh) > CACHE_ENTRIES:
             self.known.clear()
-        for k in range(0, len(units), 4096):
-            part = units[k : k + 4096]
-            self.known.update(zip(part, self._encode(part)))
-
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if _ODD.search(text):
-            return self._encode([text])[0]
-        units, known = _UNIT.findall(text), self.known
-        try:
-            return b"".join(map(known.__getitem__, units))
-        except KeyError:
-            pass
-        self._learn(list({u for u in units if u not in known}))
-        return b"".join([known.get(u) or self._encode([u])[0] for u in units])
+        self.known.update(fresh)
+        return [
+            b"".join([fresh[u] if i is None else i for u, i in zip(units, ids)] if None in ids else ids)
+            for units, ids in zip(lists, found)
+        ]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts; the caller keeps a list's characters within what memory holds."""
+        out: list[bytes | None] = [None] * len(texts)
+        plain = []
+        for k, text in enumerate(texts):
+            if not text.isascii() and _ODD.search(text) or text.isascii() and _ODD_ASCII.search(text):
+                out[k] = self._encode([text])[0]
+            elif len(text) > _SLICE:
+                units = (m[0] for m in _UNIT.finditer(text))
+                out[k] = b"".join(self._join([part])[0] for part in iter(lambda: list(islice(units, 1 << 18)), []))
+            else:
+                plain.append(k)
+        for k, ids in zip(plain, self._join([_UNIT.findall(texts[k]) for k in plain])):
+            out[k] = ids
+        return out
+
+
+def slices(texts: Iterable[str], most: int = _SLICE) -> Iterator[list[str]]:
+    """The texts in lists of `most` characters or so."""
+    part, size = [], 0
+    for text in texts:
+        part.append(text)
+        size += len(text)
+        if size >= most:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
 
 
 _encoders: dict[str, Encoder] = {}
@@ -104,12 +135,13 @@ def write_tokens(
         stem, out, offsets, ids, n_null = f"{part:06d}-{uuid.uuid4().hex}", None, [0], [], 0
         for batch in batches:
             out = out or store.open_output_stream(f"{top}/{stem}.tok")
-            for i, text in zip(batch["doc_id"], batch["text"]):
-                data = enc.encode(text) + end
-                out.write(data)
-                offsets.append(offsets[-1] + len(data) // enc.width)
+            for i in batch["doc_id"]:
                 n_null += bool(pd.isna(i))
                 ids.append(0 if pd.isna(i) else int(i))
+            for texts in slices(batch["text"]):
+                for data in enc.encode(texts):
+                    out.write(data + end)
+                    offsets.append(offsets[-1] + len(data) // enc.width + 1)
         if out:
             out.close()
             for kind, values in (("off", np.array(offsets, "<u8")), ("ids", np.array(ids, "<i8"))):
