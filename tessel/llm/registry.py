@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import linededup, pii, secrets, sharding, simhash, tokenfiles
+from tessel.llm import decontam, langid, linededup, piecedrop, pii, secrets, sharding, simhash, tokenfiles
 from tessel.llm.common import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,16 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piecedrop.encode_documents(
+        table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), dropout=0.1, seed=42, with_ids=False
+    )
+
+
 def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(
         table(spark, sf_dir, "documents"), shards=16, slots=4096, store=shared_dir(spark, "slot-map")
@@ -41,6 +51,17 @@ def op7_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.protect(table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # A document's own `lang` is what it declares, and its source stands for the host.
+    rows = langid.evidence(table(spark, sf_dir, "documents"), F.col("lang"), F.col("source"))
+    return langid.identify(rows).drop("row")
+
+
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.identify(langid.page_evidence(table(spark, sf_dir, "pages"))).drop("row")
+    return found.withColumnRenamed("doc_id", "page_id")
+
+
 def op9_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     # A document's source stands for the owner, and source with language for the repository.
     return secrets.find_secrets(table(spark, sf_dir, "documents"), owner="source", repo=("source", "lang"))
@@ -55,10 +76,14 @@ def queries() -> dict[str, Query]:
     return {
         "op1_token_files": op1_token_files,
         "op2_simhash": op2_simhash,
+        "op3_decontamination": op3_decontamination,
+        "op4_merge_dropout": op4_merge_dropout,
         "op6_virtual_slots": op6_virtual_slots,
         "op7_disclosure": op7_disclosure,
+        "op8_language_id": op8_language_id,
         "op9_ownership": op9_ownership,
         "op10_line_dedup": op10_line_dedup,
+        "language_id_pages": language_id_pages,
     }
 
 
