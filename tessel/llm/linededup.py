@@ -26,9 +26,14 @@ def _hashed(rows: DataFrame, min_chars: int) -> DataFrame:
 
 
 def dedupe_lines(
-    docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    min_chars: int = 40,
+    min_docs: int = 5,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """doc_id, text (what is kept), n_lines, n_dropped for each row of `docs`.
+    """doc_id, text (what is kept), n_lines, n_dropped for each row of `docs`, and its columns `carry` in a struct.
 
     A line's key is the line without ASCII white space at its ends, A-Z folded.  Keys of `min_chars` code points
     or more found in `min_docs` documents or more lose all their lines but those of the largest doc_id that
@@ -38,9 +43,10 @@ def dedupe_lines(
     the counts, and each keeps a result row.  Rows with a null doc_id belong to no document: they are not
     counted and lose nothing.  An empty table gives an empty result; other columns are not read.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select(
-        "doc_id", "text", F.xxhash64("text").alias("row")
-    )
+    carried = F.struct(*carry) if carry else F.lit(None)
+    rows = docs.select(
+        F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), carried.alias("carried")
+    ).withColumn("row", F.xxhash64("text"))
     lines = cut(_hashed(rows.filter("doc_id IS NOT NULL"), min_chars), "lines")
     # The documents of a key are made distinct before they are counted, so that a line that a third of all
     # documents hold is aggregated by (key, document) first and never gathered anywhere.
@@ -69,6 +75,7 @@ def dedupe_lines(
         .cast("long")
         .alias("n_lines"),
         F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_dropped"),
+        *(["carried"] if carry else []),
     )
 
 

@@ -7,19 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import decontam, langid, linededup, piecedrop, pii, secrets, sharding, simhash, tokenfiles
-from tessel.llm.common import shared_dir, table
+import corpus_pipeline
+from tessel.llm import decontam, langid, linededup, piecedrop, pii, quality, secrets, sharding, simhash, tokenfiles
+from tessel.llm.common import shared_dir, table, vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def vocabulary(name: str) -> str:
-    """The place of a public tokenizer's file, as installed on this machine."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0)
 
@@ -38,6 +32,10 @@ def op4_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(
         table(spark, sf_dir, "documents"), shards=16, slots=4096, store=shared_dir(spark, "slot-map")
@@ -78,14 +76,19 @@ def queries() -> dict[str, Query]:
         "op2_simhash": op2_simhash,
         "op3_decontamination": op3_decontamination,
         "op4_merge_dropout": op4_merge_dropout,
+        "op5_perplexity": op5_perplexity,
         "op6_virtual_slots": op6_virtual_slots,
         "op7_disclosure": op7_disclosure,
         "op8_language_id": op8_language_id,
         "op9_ownership": op9_ownership,
         "op10_line_dedup": op10_line_dedup,
         "language_id_pages": language_id_pages,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_dedup": linededup.ORACLE}
+    found = {"op10_line_dedup": linededup.ORACLE}
+    if corpus_pipeline.ORACLE_SQL:
+        found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
