@@ -160,9 +160,8 @@ def identify(
     prior = [F.lit(x / sum(overall)) for x in overall]
     declared = _counts(decided, "declared", languages, "d")
     suffixes, hosts = _counts(decided, "suffix", languages, "s"), _counts(decided, "host", languages, "h")
-    joined = (
-        scored.join(declared, "declared", "left").join(suffixes, "suffix", "left").join(hosts, "host", "left").na.fill(0)
-    )
+    joined = scored.join(declared, "declared", "left").join(suffixes, "suffix", "left").join(hosts, "host", "left")
+    joined = joined.na.fill(0, [f"{level}{k}" for level in "dsh" for k in n])
 
     def smoothed(level: str, above: list[Column]) -> list[Column]:
         held = reduce(lambda a, b: a + b, [F.col(f"{level}{k}") for k in n])
