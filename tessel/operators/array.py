@@ -13,6 +13,7 @@ and no null value.  Tags say something about an array or an axis and never chang
 from __future__ import annotations
 
 import math
+import tempfile
 from collections.abc import Callable, Hashable, Sequence
 
 import numpy as np
@@ -111,7 +112,15 @@ class Array:
         return self._copy(df=self.relation().persist(), value=F.col("v"))
 
     def checkpointed(self) -> Array:
-        """Written to the checkpoint folder, with its lineage cut: for loops whose plans would grow."""
+        """Written to the checkpoint folder, with its lineage cut: for loops whose plans would grow.
+
+        The folder is the one that the session names in spark.checkpoint.dir; only where it names none (on one
+        machine) is it a temporary one.
+        """
+        context = self.spark.sparkContext
+        if context.getCheckpointDir() is None:
+            named = self.spark.conf.get("spark.checkpoint.dir", None)
+            context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         return self._copy(df=self.relation().checkpoint(), value=F.col("v"))
 
     def small(self) -> bool:

@@ -213,7 +213,7 @@ query("arctan2", "SELECT i0, atan2(v, v + 1) AS v FROM bal", 6)(lambda s: t.arct
 query("broadcasting", "SELECT a.i0, a.i1, a.v * 10 + b.v AS v FROM Q a JOIN (SELECT i0, sum(v)::BIGINT AS v FROM Q GROUP BY i0) b USING (i0)")(
     lambda s: s.Q * 10 + t.expand_dims(t.sum(s.Q, 1), 1)
 )
-query("complex_parts", "SELECT i0, v * v + 9 AS v FROM size", 6)(lambda s: _squared(s.size.astype("complex128") + 3j))
+query("complex_parts", "SELECT i0, (v * v + 9)::DOUBLE AS v FROM size", 6)(lambda s: _squared(s.size.astype("complex128") + 3j))
 
 
 def _squared(z: Array) -> Array:
@@ -385,18 +385,22 @@ def _(s):
     return t.exchange(s.Q[:10], routes)[0]
 
 
+def runge_kutta(f, u: Array, dt: float, steps: int) -> Array:
+    """Classical fourth-order steps of du/dt = f(u).  Each stage is written and read back: it is used several
+    times, and the plan would double with each use."""
+    for _ in range(steps):
+        k1 = f(u).checkpointed()
+        k2 = f((u + k1 * (dt / 2)).checkpointed()).checkpointed()
+        k3 = f((u + k2 * (dt / 2)).checkpointed()).checkpointed()
+        k4 = f((u + k3 * dt).checkpointed())
+        u = (u + (k1 + 2.0 * k2 + 2.0 * k3 + k4) * (dt / 6)).checkpointed()
+    return u
+
+
 @query("wave_steps", None)
 def _(s):
-    """Four Runge-Kutta steps of the upwind difference along the years of Q: a loop whose lineage is cut."""
-    u, dt = s.Q.astype("float64"), 0.1
-    f = lambda x: t.roll(x, 1, 1) - x
-    for _ in range(4):
-        k1 = f(u).stored()
-        k2 = f(u + k1 * (dt / 2)).stored()
-        k3 = f(u + k2 * (dt / 2)).stored()
-        k4 = f(u + k3 * dt)
-        u = (u + (k1 + 2.0 * k2 + 2.0 * k3 + k4) * (dt / 6)).stored()
-    return u
+    """Runge-Kutta steps of the upwind difference along the years of Q."""
+    return runge_kutta(lambda x: t.roll(x, 1, 1) - x, s.Q.astype("float64"), 0.1, 2)
 
 
 @query("fourier", """SELECT a.i0, k.k AS i1, sqrt(pow(sum(a.v * cos(2 * pi() * a.i1 * k.k / 24)), 2)

@@ -41,5 +41,6 @@ def windowed_sums(
     """Sums by tumbling event-time window and coordinates: a window's cells come out once, when the watermark
     has passed it; rows later than `late` are left out."""
     keys = [F.window(time, window).alias("w"), *[c.cast("bigint").alias(n) for n, c in coords.items()]]
-    sums = stream.withWatermark(time, late).groupBy(*keys).agg(F.sum(value).cast(spark_type(dtype)).alias("v"))
+    timed = stream.withColumn(time, F.col(time).cast("timestamp"))
+    sums = timed.withWatermark(time, late).groupBy(*keys).agg(F.sum(value).cast(spark_type(dtype)).alias("v"))
     return sums.select(F.col("w.start").alias("start"), *coords, "v")
