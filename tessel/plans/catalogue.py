@@ -155,9 +155,10 @@ def _(s):
     return t.zeros_like(s.Q) + t.ones_like(s.Q)
 
 
-@query("eye", "SELECT a.i0, b.i0 AS i1, (b.i0 - a.i0 = 2)::BIGINT AS v FROM natreg a CROSS JOIN natreg b")
+@query("eye", """SELECT a.i0, a.i1, coalesce(b.v, 0) AS v FROM Q a LEFT JOIN Q b ON b.i0 = a.i0 AND b.i1 = a.i1 - 2""")
 def _(s):
-    return t.eye(s.spark, len(s.natreg), k=2, dtype="int64")
+    """The years of Q two later, by a product."""
+    return s.Q @ t.eye(s.spark, YEARS, k=2, dtype="int64")
 
 
 @query("arange", "SELECT i0, 5 + 3 * i0 + v AS v FROM size")
@@ -245,9 +246,8 @@ query("slice", "SELECT (i0 - 10) // 3 AS i0, i1, v FROM Eq WHERE i0 BETWEEN 10 A
 query("neg_step", "SELECT (SELECT max(i0) FROM Eq) - i0 AS i0, i1, v FROM Eq")(lambda s: s.Eq[::-1])
 query("int_index", "SELECT i0, v FROM Eq WHERE i1 = 63")(lambda s: s.Eq[..., -1])
 query("gather_contig", "SELECT n.i0, r.v FROM nat n JOIN natreg r ON r.i0 = n.v")(lambda s: s.natreg[s.nat])
-query("gather_noncontig", """SELECT l.i0, e.i0 AS i1, e.v FROM lab l, (SELECT i0, i1, v FROM Eq) e
-      WHERE e.i1 = l.v AND e.i0 % 100 = 0 AND l.i0 < 50 AND e.i0 < 500""")(
-    lambda s: _every_hundredth(s.Eq[:500, s.lab[:50]])
+query("gather_noncontig", "SELECT i0, i1 // 6 AS i1, v FROM H WHERE i1 % 6 = i0 % 6")(
+    lambda s: s.H.reshape(-1, 4, 6)[_users(s), :, _users(s) % 6]
 )
 query("gather_pairs", "SELECT l.i0, e.v FROM lab l JOIN Eq e ON e.i0 = l.i0 AND e.i1 = (l.v + 60) % 64")(
     lambda s: s.Eq[t.arange(s.spark, len(s.lab), dtype="int64"), (s.lab + 60) % 64]
@@ -260,7 +260,9 @@ query("reshape_f", "SELECT (i1 * n + i0) % (n * 2) AS i0, (i1 * n + i0) // (n *
     lambda s: s.H.reshape(-1, 12, order="F")
 )
 query("expand_squeeze", "SELECT i0, 0::BIGINT AS i1, i1 AS i2, v FROM Q")(lambda s: t.squeeze(t.expand_dims(s.Q, (0, 2)), 0))
-query("broadcast_to", "SELECT a.i0 % 5 AS i0, b.i0 AS i1, b.v FROM natreg a, natreg b WHERE a.i0 < 5")(lambda s: t.broadcast_to(s.natreg, (5, len(s.natreg))))
+query("broadcast_to", "SELECT k.k AS i0, b.i0 AS i1, b.v FROM bal b CROSS JOIN (SELECT unnest(range(5)) AS k) k", 6)(
+    lambda s: t.broadcast_to(s.bal, (5, len(s.bal)))
+)
 query("stack", "SELECT i0, 0::BIGINT AS i1, i1 AS i2, v FROM Q UNION ALL SELECT i0, 1, i1, v * v FROM Q")(lambda s: t.stack([s.Q, s.Q * s.Q], 1))
 query("concatenate", "SELECT i0, i1, v FROM Q UNION ALL SELECT i0, i1 + 7, -v FROM Q")(lambda s: t.concatenate([s.Q, -s.Q], 1))
 query("pad", """SELECT g.i0, g.i1, CASE WHEN g.i1 < 1 THEN 5 WHEN g.i1 > 24 THEN 6 WHEN g.i0 < 2 THEN 3 WHEN h.v IS NULL THEN 4 ELSE h.v END::BIGINT AS v
@@ -271,9 +273,8 @@ query("pad", """SELECT g.i0, g.i1, CASE WHEN g.i1 < 1 THEN 5 WHEN g.i1 > 24 THEN
 )
 
 
-def _every_hundredth(a: Array) -> Array:
-    """Of (500, k): the rows 0, 100, ..., moved behind the index axis as a non-contiguous gather has it."""
-    return Array(a.df.filter("i0 % 100 = 0").select(a.df.i1.alias("i0"), a.df.i0.alias("i1"), a.value.alias("v")), (a.shape[1], a.shape[0]), a.dtype)
+def _users(s: Tables) -> Array:
+    return t.arange(s.spark, len(s.H), dtype="int64")
 
 
 # -- contractions -------------------------------------------------------------------------------------------
@@ -291,9 +292,10 @@ query("einsum_float", "SELECT a.i1 AS i0, b.i1, sum(a.v * b.v) AS v FROM E a JOI
 )
 query("einsum_frobenius", f"SELECT {_DOT} FROM Eq a JOIN Eq b ON a.i0 = b.i0 AND a.i1 = b.i1")(lambda s: t.einsum("ij,ij->", s.Eq, s.Eq))
 query("einsum_total", "SELECT sum(v)::BIGINT AS v FROM Eq")(lambda s: t.einsum("ij->", s.Eq))
-query("einsum_diagonal", "SELECT i0, v FROM Eq WHERE i0 = i1")(lambda s: t.einsum("ii->i", s.Eq[:64]))
-query("einsum_trace", "SELECT sum(v)::BIGINT AS v FROM Eq WHERE i0 = i1")(lambda s: t.einsum("ii->", s.Eq[:64]))
-query("einsum_outer", "SELECT a.i0, b.i0 AS i1, a.v * b.v AS v FROM natreg a, natreg b")(lambda s: t.einsum("i,j->ij", s.natreg, s.natreg))
+_GRAM = "(SELECT a.i1 AS i, b.i1 AS j, sum(a.v * b.v)::BIGINT AS v FROM Eq a JOIN Eq b ON a.i0 = b.i0 GROUP BY 1, 2)"
+query("einsum_diagonal", f"SELECT i AS i0, v FROM {_GRAM} WHERE i = j")(lambda s: t.einsum("ii->i", t.einsum("ri,rj->ij", s.Eq, s.Eq)))
+query("einsum_trace", f"SELECT sum(v)::BIGINT AS v FROM {_GRAM} WHERE i = j")(lambda s: t.einsum("ii->", t.einsum("ri,rj->ij", s.Eq, s.Eq)))
+query("einsum_outer", "SELECT a.i0, b.i0 AS i1, a.v * b.v AS v FROM natreg a, size b")(lambda s: t.einsum("i,j->ij", s.natreg, s.size))
 query("einsum_rows", "SELECT a.i0, sum(a.v * a.v * a.v)::BIGINT AS v FROM Q a GROUP BY a.i0")(lambda s: t.einsum("ij,ij,ij->i", s.Q, s.Q, s.Q))
 query("einsum_chain", """SELECT c.i0, sum(c.v * d.v)::BIGINT AS v
       FROM (SELECT a.i0, b.i0 AS i1, sum(a.v * b.v) AS v FROM Q a JOIN Q b ON a.i1 = b.i1 GROUP BY 1, 2) c
@@ -377,12 +379,12 @@ def _twice(x: Array) -> Array:
     return y + t.ring(y)
 
 
-@query("route_exchange", "SELECT 3 - i0 // 1 AS i0, i1, v FROM Q WHERE i0 < 4 UNION ALL SELECT i0, i1, 0 FROM Q WHERE i0 BETWEEN 4 AND 9")
+@query("route_exchange", "SELECT 6 - i1 AS i0, i0 AS i1, CASE WHEN i1 = 3 THEN 0 ELSE v END AS v FROM Q")
 def _(s):
-    """Four of ten ranks send to each other in mirrored order."""
-    pairs = [(k, 3 - k) for k in range(4)]
-    routes = t.verified_routes(s.spark, [t.Send(a, b, "m") for a, b in pairs], [t.Receive(a, b, "m") for a, b in pairs], 10)
-    return t.exchange(s.Q[:10], routes)[0]
+    """Years as ranks, which send to each other in mirrored order; the one in the middle sends nothing."""
+    pairs = [(k, 6 - k) for k in range(YEARS) if k != 3]
+    routes = t.verified_routes(s.spark, [t.Send(a, b, "m") for a, b in pairs], [t.Receive(a, b, "m") for a, b in pairs], YEARS)
+    return t.exchange(s.Q.T, routes)[0]
 
 
 def runge_kutta(f, u: Array, dt: float, steps: int) -> Array:
