@@ -190,6 +190,14 @@ def test_decontamination_brute(spark, sf_dir):
     assert decontam.contamination(docs, items.limit(0)).count() == 0 == decontam.contamination(docs.limit(0), items).count()
 
 
+def test_decontamination_edges(spark, edge):
+    rows = [(1, "One two, three four FIVE"), (2, None), (3, ""), (None, "no id here at all"), (1, "one two three four five")]
+    items = spark.createDataFrame(rows, "item_id long, text string").selectExpr("*", "1 AS i", "2 AS t", "3 AS doc_id")
+    got = decontam.contamination(edge, items).collect()
+    # Both spellings of item 1 are found in both rows of document 1.
+    assert Counter((r.doc_id, r.item_id) for r in got) == {(1, 1): 4}
+
+
 def test_block_bounds_lose_nothing():
     rng = random.Random(9)
     vocabulary_ = [f"t{k}" for k in range(80)]
