@@ -18,7 +18,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -29,13 +29,16 @@ from pyspark.sql import functions as F
 
 from tessel.llm.common import cut, shared_dir
 
-#: Entries that a worker remembers; a larger set of units is forgotten and learnt again.
-CACHE_ENTRIES = 1_000_000
+#: Entries that a worker remembers.  Half of them are the newer ones; when they are full they become the older
+#: half, and of what was the older half only units that have come up since are kept.
+CACHE_ENTRIES = 1_200_000
 #: Characters that are cut into units at a time.
 _SLICE = 1 << 21
 #: Letters for certain, so that a token never goes on from one of them to a full stop or comma.
 _LETTER = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
 _UNIT = re.compile(rf"[ \t\n\r]*[{_LETTER}]+(?=[ \t\n\r.,]|\Z)|[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+\Z")
+_PLAIN = re.compile(rf"[ \t\n\r]*[{_LETTER}]+\Z")
+_MARK = "\0"
 #: White space of any kind but these four: texts with such characters are not cut into units.
 _ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _ODD_ASCII = re.compile("[\x0b\x0c\x1c-\x1f]")
@@ -57,26 +60,45 @@ class Encoder:
         self.model = Tokenizer.from_file(path)
         self.width = 2 if self.model.get_vocab_size() <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
+        marks = self._ids(_MARK + " a" + _MARK)
+        self.mark = marks[0] if marks[0] == marks[-1] and self._ids(_MARK) == marks[:1] else None
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         done = self.model.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.dtype).tobytes() for e in done]
 
+    def _encode_plain(self, units: list[str]) -> list[bytes]:
+        """The ids of units of white space and letters, from one text in which a mark parts them: no token holds
+        the mark and a letter or white space, so the ids between marks are the units' own."""
+        ids = np.array(self._ids(_MARK.join(units)), self.dtype)
+        cuts = (np.flatnonzero(ids == self.mark) * self.width).tolist()
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *[c + self.width for c in cuts]], [*cuts, len(data)])]
+
+    def _ids(self, text: str) -> list[int]:
+        return self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
     def _join(self, lists: list[list[str]]) -> list[bytes]:
         """The ids of each list of units; what is new among all of them is encoded in one go."""
-        found = [list(map(self.known.get, units)) for units in lists]
-        new = list({u for units, ids in zip(lists, found) if None in ids for u, i in zip(units, ids) if i is None})
-        fresh: dict[str, bytes] = {}
-        for k in range(0, len(new), 1024):
-            fresh.update(zip(new[k : k + 1024], self._encode(new[k : k + 1024])))
-        if len(self.known) + len(fresh) > CACHE_ENTRIES:
-            self.known.clear()
+        # What a slice holds is looked up once a unit, and the texts are put together from that small table.
+        ids = dict.fromkeys(chain.from_iterable(lists))
+        ids.update(zip(ids, list(map(self.known.get, ids))))
+        new = [u for u, i in ids.items() if i is None]
+        fresh = {u: self.older[u] for u in new if u in self.older}
+        plain, other = [], []
+        for u in new:
+            if u not in fresh:
+                (plain if self.mark is not None and _PLAIN.match(u) else other).append(u)
+        for units, encode in ((plain, self._encode_plain), (other, self._encode)):
+            for k in range(0, len(units), 1024):
+                fresh.update(zip(units[k : k + 1024], encode(units[k : k + 1024])))
+        if len(self.known) + len(fresh) > CACHE_ENTRIES // 2:
+            self.older, self.known = self.known, {}
         self.known.update(fresh)
-        return [
-            b"".join([fresh[u] if i is None else i for u, i in zip(units, ids)] if None in ids else ids)
-            for units, ids in zip(lists, found)
-        ]
+        ids.update(fresh)
+        return [b"".join(map(ids.__getitem__, units)) for units in lists]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of texts; the caller keeps a list's characters within what memory holds."""
