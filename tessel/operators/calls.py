@@ -59,7 +59,7 @@ def call_kernel(f: Callable[..., dict], outputs: dict[str, tuple], *args: Array)
     for p in parts[1:]:
         cells = cells.unionByName(p)
 
-    def rows(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def rows(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         given = []
         for k, a_shape in enumerate(shapes):
             own = pdf[pdf["arg"] == k]
