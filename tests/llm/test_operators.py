@@ -2,6 +2,7 @@
 
 import math
 import random
+import string
 import zlib
 from collections import Counter, defaultdict
 
@@ -285,7 +286,7 @@ def test_perplexity_tells_languages_apart(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = docs.collect()
     rng = random.Random(6)
-    noise = " ".join("".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(5)) for _ in range(300))
+    noise = " ".join("".join(rng.choices(string.ascii_letters + string.digits, k=9)) for _ in range(300))
     junk = spark.createDataFrame([(9999, noise, "en", "s", 0)], docs.schema)
     got = {r.doc_id: r for r in quality.judge(docs.union(junk), width=2.0).collect()}
     assert not got[9999].kept and not got[9999].base_failed
