@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import decontam, langid, linededup, piecedrop, simhash
+from tessel.llm import decontam, langid, linededup, neardup, piecedrop
 from tessel.llm.common import cut, table, vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -38,8 +38,9 @@ def dedupe_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
-    groups = simhash.near_duplicates(docs)
+    """Of each group of near duplicates (a similarity of 0.8 or more in five-word shingles) the document with the
+    smallest id stays."""
+    groups = neardup.groups(docs)
     stays = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("stays")).distinct()
     return docs.select(COLUMNS).join(stays, F.col("doc_id") == F.col("stays"), "left_semi")
 

@@ -1,7 +1,9 @@
 """The pipeline, stage by stage, against what its stages promise."""
 
+import random
+
 import corpus_pipeline
-from tessel.llm import decontam, linededup, simhash
+from tessel.llm import decontam, linededup, neardup, simhash
 
 
 def test_stages(spark, sf_dir):
@@ -41,3 +43,39 @@ def test_stages_take_odd_rows(spark, sf_dir):
         for _, stage in corpus_pipeline.STAGES:
             out = stage(spark, current, sf_dir)
             current = spark.createDataFrame(out.collect(), out.schema)
+
+
+def test_near_copies_of_similarity_08_go(spark, sf_dir):
+    """Brute force over all pairs; near copies up to the similarity are far from each other in op2's fingerprints."""
+    rng = random.Random(8)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect()]
+    for k in range(12):  # a word in forty changed: about 0.8
+        words = [f"w{k}x{j}" for j in range(400)]
+        near = list(words)
+        for j in rng.sample(range(400), 4 + k):
+            near[j] = "z"
+        rows += [(10_000 + 2 * k, " ".join(words)), (10_001 + 2 * k, " ".join(near))]
+    family = [f"f{j}" for j in range(400)]
+    rows += [(20_000 + k, " ".join(family[:k] + ["z"] + family[k + 1 :])) for k in range(40)]
+    rows += [(30_000, ""), (30_001, " \n"), (30_002, None)]
+    sets = [set(neardup.shingle_hashes(t or "").tolist()) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    far = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+                far += (simhash.fingerprint(rows[i][1]) ^ simhash.fingerprint(rows[j][1])).bit_count() > 3
+    want = {rows[root(k)][0] for k in range(len(rows))}
+    assert far > 5
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).collect()} == want
+    # Bands of any size lead to the same groups here.
+    assert {r.component_id for r in neardup.groups(docs, bucket=1).collect()} == want
