@@ -317,3 +317,36 @@ def test_pages(spark, sf_dir):
     assert got.filter("declared = '' OR host = '' OR suffix = ''").count() == 0
     assert got.filter("text LIKE '%<%' OR text LIKE '%track(%'").count() == 0
     assert langid.identify(got).filter("language = declared").count() >= 0.9 * pages.count()
+
+
+def test_perplexity_hears_word_order(spark):
+    """Shuffled words have other perplexities, and copies of a text do not predict it."""
+    rng = random.Random(11)
+    names, follow = [f"w{k}o" for k in range(200)], {}
+    for w in names:
+        follow[w] = rng.sample(names, 3)
+    texts = []
+    for _ in range(60):
+        words = [rng.choice(names)]
+        while len(words) < 200:
+            words.append(rng.choice(follow[words[-1]]))
+        texts.append(words)
+    rows = [(k, " ".join(w), "en") for k, w in enumerate(texts)]
+    mixed = list(texts[0])
+    rng.shuffle(mixed)
+    odd = " ".join("".join(rng.choices(string.ascii_letters, k=4)) for _ in range(200))
+    rows += [(100, " ".join(mixed), "en"), *[(200 + k, odd, "en") for k in range(5)]]
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[k].kept for k in range(60))
+    assert got[100].log_perplexity > 1.5 * got[0].log_perplexity and not got[100].kept
+    assert not any(got[200 + k].kept for k in range(5))
+
+
+def test_production_band_rejects_mixed_junk(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = random.Random(7)
+    words = max((r.text for r in docs.filter("lang = 'en'").collect()), key=len).split()[:300]
+    half = [w if k % 2 else "".join(rng.choices(string.ascii_letters, k=7)) for k, w in enumerate(words)]
+    junk = spark.createDataFrame([(9999, " ".join(half), "en", "s", 0)], docs.schema)
+    got = {r.doc_id: r for r in quality.judge(docs.union(junk)).collect()}
+    assert not got[9999].kept and not got[9999].base_failed
