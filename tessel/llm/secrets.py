@@ -120,17 +120,17 @@ def scan(
 def ownership(found: DataFrame) -> DataFrame:
     """hash, repos, owners, documents: distinct holders of each candidate's value over the whole corpus.
 
-    (hash, owner, repo) is made distinct first, task by task, so that a value that a third of the corpus holds
-    reaches the count as a row for each of its repositories.
+    Documents are distinct texts, so that exact copies of one count once.  (hash, owner, repo, text) is made distinct
+    first, task by task.
     """
-    each = found.select("doc_id", "owner", "repo", F.explode("found").alias("f")).select(
-        F.col("f.hash").alias("hash"), F.coalesce("owner", F.lit("")).alias("owner"), "repo", "doc_id"
-    )
-    held = each.groupBy("hash", "owner", "repo").agg(F.count("*").alias("n"))
-    owners = held.groupBy("hash", "owner").agg(F.count("*").alias("repos"), F.sum("n").alias("n"))
-    return owners.groupBy("hash").agg(
-        F.sum("repos").alias("repos"), F.count("*").alias("owners"), F.sum("n").alias("occurrences")
+    each = found.select("row", "owner", "repo", F.explode("found").alias("f")).select(
+        F.col("f.hash").alias("hash"), F.coalesce("owner", F.lit("")).alias("owner"), "repo", "row"
     )
+    held = each.distinct()
+    repos = held.select("hash", "owner", "repo").distinct().groupBy("hash", "owner").agg(F.count("*").alias("repos"))
+    owners = repos.groupBy("hash").agg(F.sum("repos").alias("repos"), F.count("*").alias("owners"))
+    texts = held.select("hash", "row").distinct().groupBy("hash").agg(F.count("*").alias("documents"))
+    return owners.join(texts, "hash")
 
 
 def find_secrets(
@@ -138,15 +138,18 @@ def find_secrets(
     owner: str = "source",
     repo: tuple[str, ...] = ("source", "lang"),
     example_owners: int = 3,
+    example_repos: int = 3,
+    example_documents: int = 5,
     least_bits: float = 3.0,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """For each row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example.
+    """For each row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, held.
 
     `spans` has the base spans and, of kind `owned`, the long random-looking tokens that one owner alone holds.
-    A value that `example_owners` owners or more hold counts as an example; a random-looking one that a single
-    owner holds counts as live; the rest are neither.  A null owner is an owner of its own.  Null and empty
+    A value that `example_owners` owners, `example_repos` repositories or `example_documents` distinct texts or more
+    hold counts as an example, within one owner too; a random-looking one of the others that a single owner holds
+    counts as live; the rest are neither.  `held` has repos:owners:documents of each span's value.  A null owner is an owner of its own.  Null and empty
     texts have no spans; repeated rows are scanned each, and their values count once for each repository.  An
     empty table gives an empty result; other columns are not read.
     """
@@ -155,10 +158,15 @@ def find_secrets(
     spans = found.filter(F.size("found") > 0).select("doc_id", "row", F.explode("found").alias("f"))
     judged = (
         spans.distinct()
-        .join(counted.select(F.col("hash").alias("f_hash"), "owners"), F.col("f.hash") == F.col("f_hash"))
+        .join(counted.withColumnRenamed("hash", "f_hash"), F.col("f.hash") == F.col("f_hash"))
         .withColumn(
             "verdict",
-            F.when(F.col("owners") >= example_owners, "example")
+            F.when(
+                (F.col("owners") >= example_owners)
+                | (F.col("repos") >= example_repos)
+                | (F.col("documents") >= example_documents),
+                "example",
+            )
             .when((F.col("owners") == 1) & F.col("f.random"), "live")
             .otherwise("shared"),
         )
@@ -174,6 +182,7 @@ def find_secrets(
                     F.col("f.end").alias("end"),
                     F.col("f.kind").alias("kind"),
                     "verdict",
+                    F.concat_ws(":", "repos", "owners", "documents").alias("held"),
                 )
             )
         ).alias("spans")
@@ -191,6 +200,7 @@ def find_secrets(
         F.coalesce(text, F.lit("")).alias("spans"),
         F.expr(count.format("live")).alias("n_live"),
         F.expr(count.format("example")).alias("n_example"),
+        F.coalesce(F.array_join(F.col("spans.held"), ","), F.lit("")).alias("held"),
     )
 
 

@@ -105,3 +105,13 @@ def test_terms_that_give_an_entity_away(spark):
         assert "Zanzibarian" in words and "chess" in words and not words & set(filler)
         assert r.n_email == 1 and "jo@ex.org" not in pii.sanitised(text, r.spans)
     assert all(got[k].spans == "" for k in range(200)) and got[2000].n_terms == 0
+
+
+def test_copies_inside_one_owner_are_examples(spark):
+    wide, live = "q7Rt9LmX2vBn4KpZ8sWd", "h3Jk8PwQ5tYx1NcV6bGf"
+    rows = [(k, f"token {wide} in text {k}", "hot", ["en", "de", "fr"][k % 3]) for k in range(9)]
+    rows += [(20 + k, f"token {live} here", "hot", "en") for k in range(9)]  # one text, copied
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = {r.doc_id: r for r in secrets.find_secrets(docs).collect()}
+    assert all(got[k].n_live == 0 and got[k].spans == "" for k in range(9))
+    assert all(got[20 + k].n_live == 1 and got[20 + k].held == "1:1:1" for k in range(9))
