@@ -2,13 +2,13 @@
 
 Each stage works on all that its predecessor kept.  All but the last return the columns of `documents`.
 Rows that share a doc_id are one document: they stay or go together, and a stage that judges rows keeps the
-document if it keeps one of them.  Documents without an id can't be told apart: they pass the stages that judge
-texts like one document, and go where one document of a group stays.  An empty table stays empty.
+document if it keeps one of them.  Documents without an id are told apart by their texts: each is judged by its
+own, and of equal ones one stays in the near-duplicate stage.  An empty table stays empty.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessel.llm import decontam, langid, linededup, neardup, piecedrop
@@ -17,15 +17,25 @@ from tessel.llm.common import cut, table, vocabulary
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _unit() -> Column:
+    """What stays or goes together: the id, and without one a key from the text, over all ordinary ids."""
+    key = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)
+    return F.coalesce("doc_id", key)
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("doc_id", _unit())
+
+
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The documents whose id is not in `gone`."""
+    """The documents whose unit is not a doc_id of `gone`."""
     ids = gone.select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.select(COLUMNS).join(ids, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
+    return docs.select(COLUMNS).join(ids, _unit() == F.col("gone_id"), "left_anti")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no language can be told go."""
-    found = langid.identify(langid.evidence(docs, F.col("lang"), F.col("source")))
+    found = langid.identify(langid.evidence(_named(docs), F.col("lang"), F.col("source")))
     return _without(docs, found.groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).filter("NOT kept"))
 
 
@@ -40,14 +50,15 @@ def dedupe_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (a similarity of 0.8 or more in five-word shingles) the document with the
     smallest id stays."""
-    groups = neardup.groups(docs)
+    groups = neardup.groups(_named(docs))
     stays = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("stays")).distinct()
-    return docs.select(COLUMNS).join(stays, F.col("doc_id") == F.col("stays"), "left_semi")
+    kept = docs.select(COLUMNS).join(stays, _unit() == F.col("stays"), "left_semi")
+    return kept.filter("doc_id IS NOT NULL").unionByName(kept.filter("doc_id IS NULL").dropDuplicates(["text"]))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that give a test item away go."""
-    return _without(docs, decontam.contamination(docs, table(spark, sf_dir, "benchmark")))
+    return _without(docs, decontam.contamination(_named(docs), table(spark, sf_dir, "benchmark")))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -79,3 +79,14 @@ def test_near_copies_of_similarity_08_go(spark, sf_dir):
     assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).collect()} == want
     # Bands of any size lead to the same groups here.
     assert {r.component_id for r in neardup.groups(docs, bucket=1).collect()} == want
+
+
+def test_documents_without_id_are_judged_by_their_own_text(spark, sf_dir):
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first().text
+    one, two = (" ".join(f"{c}{k}" for k in range(60)) for c in "pq")
+    rows = [(None, t, "en", "s", len(t)) for t in (item, one, one, two)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    unique = corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir)
+    assert sorted(r.text for r in unique.collect()) == sorted([item, one, two])
+    clean = corpus_pipeline.decontaminate(spark, docs, sf_dir)
+    assert sorted(r.text for r in clean.collect()) == sorted([one, one, two])
