@@ -2,12 +2,13 @@
 
 Symbols start as characters; an agenda holds the neighbouring pairs whose concatenation is a piece, best score
 first and leftmost among equals.  A candidate that comes up is skipped for good if its keyed hash falls under
-the dropout rate.  The key is the seed, a variant and the unit with the candidate's place in it, so a run can
-be repeated exactly on any cluster.  The variant changes from word to word and from document to document, so
-that one word gets several segmentations.  With rate 0 the ids are the library's own.
+the dropout rate.  The key is the seed, the document, the place of the word in it and the candidate's place in
+the word: every occurrence of a word draws for itself, and a run can be repeated exactly on any cluster.  With
+rate 0 the ids are the library's own.
 
-No piece goes over the start of white space, so a text is cut into units there, and what a unit in a variant
-becomes is remembered.
+No piece goes over the start of white space, so a text is cut into units there.  What no draw can change is
+remembered: the merges that a unit goes through, in order, when given ones of its candidates are skipped.  An
+occurrence draws for these merges; the first that it skips leads on to the merges without that candidate.
 """
 
 from __future__ import annotations
@@ -30,30 +31,78 @@ _SPACE = "▁"
 #: Stands for a space sign that is in the text itself, which goes to bytes so that decoding gives it back.
 _LITERAL = "\ud800"
 _LETTER = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
-#: Entries that a worker remembers over all variants; a larger set is forgotten and learnt again.
-CACHE_ENTRIES = 1_000_000
+#: Units that a worker remembers the plain merges of, and courses with skipped candidates; a larger set is
+#: forgotten and learnt again.
+CACHE_UNITS, CACHE_COURSES = 500_000, 400_000
 #: Characters of texts that are cut into units at a time, and the longest units whose agendas advance together.
 _SLICE, _SHORT = 1 << 21, 64
 _NEVER, _MASK, _ODD = 1 << 30, (1 << 64) - 1, 0x9E3779B97F4A7C15
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>\Z")
 
 
-def _mixed(key: int, start: int, mid: int, stop: int) -> int:
-    """64 bits that depend on the key and on all places."""
-    x = (key + start * 0xBF58476D1CE4E5B9 + mid * 0x94D049BB133111EB + stop * _ODD) & _MASK
-    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & _MASK
-    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & _MASK
+_A, _B, _C = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, _ODD
+
+
+def _mixed(x: int) -> int:
+    """64 bits that depend on all bits of a number."""
+    x &= _MASK
+    x = ((x ^ (x >> 30)) * _A) & _MASK
+    x = ((x ^ (x >> 27)) * _B) & _MASK
     return x ^ (x >> 31)
 
 
-def _mixed_many(key: np.ndarray, start: np.ndarray, mid: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    a, b, c = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(_ODD)
-    x = key + start.astype(np.uint64) * a + mid.astype(np.uint64) * b + stop.astype(np.uint64) * c
-    x = (x ^ (x >> np.uint64(30))) * a
-    x = (x ^ (x >> np.uint64(27))) * b
+def _mixed_many(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(_A)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(_B)
     return x ^ (x >> np.uint64(31))
 
 
+def _code(start, mid, stop):
+    """A candidate merge of a short unit as one number."""
+    return start << 14 | mid << 7 | stop
+
+
+def _spread(code: np.ndarray) -> np.ndarray:
+    """What a candidate adds to an occurrence's key."""
+    code = code.astype(np.uint64)
+    parts = code >> np.uint64(14), code >> np.uint64(7) & np.uint64(127), code & np.uint64(127)
+    return parts[0] * np.uint64(_A) + parts[1] * np.uint64(_B) + parts[2] * np.uint64(_C)
+
+
+class Courses:
+    """Remembered courses of agendas: the merges done in order, what ids they lead to, what was skipped."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.units: list[str] = []
+        self.ids: list[bytes] = []
+        self.skips: list[tuple[int, ...]] = []
+        self.first = np.zeros(1, np.int64)
+        self.codes = np.zeros(0, np.int32)
+        self.known: dict = {}
+
+    def extend(self, names: list, units: list[str], skips: list, ids: list[bytes], times: np.ndarray, codes: np.ndarray) -> None:
+        self.known.update(zip(names, range(len(self.ids), len(self.ids) + len(ids))))
+        self.units += units
+        self.ids += ids
+        self.skips += skips
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(times)])
+        self.codes = np.concatenate([self.codes, codes])
+
+    def skipped(self, course: np.ndarray, done: np.ndarray, key: np.ndarray, rate: int) -> tuple[np.ndarray, np.ndarray]:
+        """The occurrences (with a course, merges drawn for already, and a key) that skip a merge, and the first."""
+        low = self.first[course] + done
+        many = self.first[course + 1] - low
+        each = np.repeat(np.arange(len(course)), many)
+        at = np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many)
+        draws = _mixed_many(key[each] + _spread(self.codes[low[each] + at]))
+        hit = np.flatnonzero(draws < np.uint64(rate))
+        who, k = np.unique(each[hit], return_index=True)
+        return who, done[who] + at[hit[k]]
+
+
 def _normal(text: str) -> str:
     if _SPACE in text:
         text = text.replace(_SPACE, _LITERAL)
@@ -63,11 +112,11 @@ def _normal(text: str) -> str:
 class PieceCoder:
     """One model's encoder and decoder."""
 
-    def __init__(self, path: str, dropout: float = 0.1, seed: int = 42, variants: int = 4):
+    def __init__(self, path: str, dropout: float = 0.1):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.dropout, self.seed, self.variants = int(dropout * (1 << 64)), seed, variants if dropout > 0 else 1
+        self.dropout = min(int(dropout * (1 << 64)), _MASK)
         self.pieces: dict[str, tuple[float, int]] = {}
         self.bytes_of: list[bytes] = []
         self.of_byte = [model.unk_id()] * 256
@@ -82,7 +131,7 @@ class PieceCoder:
                 self.pieces[piece] = (-model.get_score(i), i)
                 self.bytes_of.append(piece.replace(_SPACE, " ").encode())
         self.unit = self._units()
-        self.known: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+        self.plain, self.others = Courses(), Courses()
         self.rank: np.ndarray | None = None
 
     def _units(self) -> re.Pattern:
@@ -98,11 +147,10 @@ class PieceCoder:
     def _fallback(self, c: str) -> list[int]:
         return [self.of_byte[b] for b in (_SPACE if c == _LITERAL else c).encode()]
 
-    def segment(self, unit: str, variant: int) -> list[int]:
-        """The ids of one unit, from its agenda: what `segment_many` does for many short units at once."""
+    def segment(self, unit: str, key: int = 0) -> list[int]:
+        """The ids of one occurrence of a unit, straight from its agenda."""
         pieces, rate, n = self.pieces, self.dropout, len(unit)
         end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the symbol that starts at a place
-        key = self._key(unit, variant)
         agenda: list[tuple[float, int, int, int]] = []
 
         def propose(start: int, mid: int, stop: int) -> None:
@@ -115,7 +163,7 @@ class PieceCoder:
             _, start, mid, stop = heapq.heappop(agenda)
             if end[start] != mid or end[mid] != stop:
                 continue  # one of the two has been merged since
-            if rate and _mixed(key, start, mid, stop) < rate:
+            if rate and _mixed(key + start * _A + mid * _B + stop * _C) < rate:
                 continue
             end[start], end[mid] = stop, -1
             if stop < n:
@@ -130,9 +178,6 @@ class PieceCoder:
             at = end[at]
         return ids
 
-    def _key(self, unit: str, variant: int) -> int:
-        return xxhash.xxh64_intdigest(unit.encode("utf-8", "surrogatepass"), self.seed ^ variant << 32)
-
     def _tables(self) -> None:
         """For `segment_many`: a character's piece, and a pair's merged piece in an open hash table."""
         ids = {p: i for p, (_, i) in self.pieces.items()}
@@ -172,10 +217,9 @@ class PieceCoder:
             at[open_] = (at[open_] + 1) & (len(self.pair_key) - 1)
         return out
 
-    def segment_many(self, units: list[str], variant: int) -> list[bytes]:
-        """The ids, as bytes, of short units: all agendas advance together, by each one's best merge a round."""
-        if not units:
-            return []
+    def courses(self, units: list[str], skips: list[tuple[int, ...]]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """For short units of which the candidates `skips` are skipped: their ids as bytes, how many merges each
+        goes through, and these one after another.  All agendas advance together, by each one's best merge."""
         if self.rank is None:
             self._tables()
         chars = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<u4")
@@ -184,8 +228,9 @@ class PieceCoder:
         word = np.repeat(np.arange(len(units)), lens)
         start = np.arange(len(chars)) - np.repeat(first, lens)
         stop, sym = start + 1, self.of_char[chars]
-        keys = np.array([self._key(u, variant) for u in units], np.uint64) if self.dropout else None
+        out = np.sort(np.array([w << 21 | c for w, own in enumerate(skips) for c in own], np.int64))
         done: list[tuple[np.ndarray, ...]] = []
+        merges: list[tuple[np.ndarray, np.ndarray]] = []
         worth = np.full(len(sym), _NEVER, np.int64)  # the rank of the merge of each symbol with the next
         into = np.full(len(sym), -1, np.int32)
         fresh = np.arange(len(sym))
@@ -195,8 +240,9 @@ class PieceCoder:
             got = self._merged(sym[k], sym[k + 1])
             worth[fresh] = _NEVER
             k, got = k[got >= 0], got[got >= 0]
-            if self.dropout and len(k):
-                keep = _mixed_many(keys[word[k]], start[k], stop[k], stop[k + 1]) >= np.uint64(self.dropout)
+            if len(out) and len(k):
+                code = word[k] << 21 | _code(start[k], stop[k], stop[k + 1])
+                keep = out[np.minimum(np.searchsorted(out, code), len(out) - 1)] != code
                 k, got = k[keep], got[keep]
             worth[k], into[k] = self.rank[got], got
             heads = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
@@ -213,6 +259,7 @@ class PieceCoder:
                 at = best & 0xFFFFFFFF
             if not len(sym):
                 break
+            merges.append((word[at], _code(start[at], stop[at], stop[at + 1])))
             sym[at], stop[at] = into[at], stop[at + 1]
             kept = np.ones(len(sym), bool)
             kept[at + 1] = False
@@ -234,48 +281,84 @@ class PieceCoder:
             sym[where] = np.concatenate(codes)
         cuts = np.searchsorted(word, np.arange(len(units) + 1)) * 4
         data, cuts = sym.tobytes(), cuts.tolist()
-        return [data[a:b] for a, b in zip(cuts, cuts[1:])]
-
-    def _learn(self, variant: int, lists: list[list[str]]) -> list[list[bytes]]:
-        """The ids of each unit of each list; what is new among all of them is segmented in one go."""
-        known = self.known[variant]
-        ids = dict.fromkeys(chain.from_iterable(lists))
-        ids.update(zip(ids, list(map(known.get, ids))))
-        new = [u for u, i in ids.items() if i is None]
-        short = [u for u in new if len(u) <= _SHORT]
-        fresh = dict(zip(short, self.segment_many(short, variant)))
-        fresh |= {u: np.array(self.segment(u, variant), "<i4").tobytes() for u in new if len(u) > _SHORT}
-        if len(known) + len(fresh) > CACHE_ENTRIES // self.variants:
-            known.clear()
-        known.update(fresh)
-        ids.update(fresh)
-        return [list(map(ids.__getitem__, units)) for units in lists]
-
-    def _encode(self, lists: list[list[str]], salts: list[int]) -> list[bytes]:
-        v = self.variants
-        out: list[list[bytes]] = [[b""] * len(units) for units in lists]
-        for variant in range(v):
-            places = [(variant - salt) % v for salt in salts]
-            for ids, into, k in zip(self._learn(variant, [u[k::v] for u, k in zip(lists, places)]), out, places):
-                into[k::v] = ids
-        return list(map(b"".join, out))
+        ids = [data[a:b] for a, b in zip(cuts, cuts[1:])]
+        if not merges:
+            return ids, np.zeros(len(units), np.int64), np.zeros(0, np.int32)
+        owner, codes = (np.concatenate(x) for x in zip(*merges))
+        order = np.argsort(owner, kind="stable")
+        return ids, np.bincount(owner, minlength=len(units)), codes[order].astype(np.int32)
+
+    def _learn(self, units: list[str]) -> np.ndarray:
+        """The plain course of each short unit; -1 for a long one."""
+        known = self.plain.known
+        new = [u for u in dict.fromkeys(units) if u not in known and len(u) <= _SHORT]
+        if len(known) + len(new) > CACHE_UNITS and known:
+            self.plain.clear()
+            self.others.clear()  # whose names are courses of these
+            return self._learn(units)
+        if new:
+            skips: list[tuple[int, ...]] = [()] * len(new)
+            self.plain.extend(new, new, skips, *self.courses(new, skips))
+        known = self.plain.known
+        return np.fromiter((known.get(u, -1) for u in units), np.int64, len(units))
+
+    def _turn(self, held: Courses, course: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The course that leaves each course by skipping its merge `at`."""
+        step = int(held is self.others)
+        each, where = np.unique(course << 8 | at << 1 | step, return_inverse=True)
+        known = self.others.known
+        found = [known.get(x, -1) for x in each.tolist()]
+        new = [k for k, x in enumerate(found) if x < 0]
+        if new:
+            froms = [(int(each[k]) >> 8, int(each[k]) >> 1 & 127) for k in new]
+            units = [held.units[c] for c, _ in froms]
+            skips = [(*held.skips[c], int(held.codes[held.first[c] + j])) for c, j in froms]
+            for k, x in zip(new, range(len(self.others.ids), len(self.others.ids) + len(new))):
+                found[k] = x
+            self.others.extend(each[new].tolist(), units, skips, *self.courses(units, skips))
+        return np.array(found, np.int64)[where]
+
+    def _encode(self, units: list[str], keys: np.ndarray) -> list[bytes]:
+        """The ids of each occurrence of a unit, given its key."""
+        course = self._learn(units)
+        plain = self.plain.ids
+        out = [plain[c] for c in course.tolist()] if plain else [b""] * len(units)
+        for k in np.flatnonzero(course < 0).tolist():
+            out[k] = np.array(self.segment(units[k], int(keys[k])), "<i4").tobytes()
+        if not self.dropout:
+            return out
+        who = np.flatnonzero(course >= 0)
+        held, course, done = self.plain, course[who], np.zeros(len(who), np.int64)
+        while len(who):
+            some, at = held.skipped(course, done, keys[who], self.dropout)
+            who, course, done = who[some], self._turn(held, course[some], at), at
+            held = self.others
+            for k, c in zip(who.tolist(), course.tolist()):
+                out[k] = held.ids[c]
+        if len(self.others.ids) > CACHE_COURSES:
+            self.others.clear()
+        return out
 
     def encode(self, texts: list[str | None], salts: list[int]) -> list[np.ndarray]:
-        """The ids of texts.  A text's salt says with which variant its first word begins."""
+        """The ids of texts.  A text's salt and the place of a word in it are the key of the word's draws."""
         out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(texts)
         ready: list[int] = []
         for k, text in enumerate(texts):
             if text and len(text) <= _SLICE:
                 ready.append(k)
             elif text:
-                units, at, parts = (m[0] for m in self.unit.finditer(_normal(text))), salts[k], []
+                units, at, parts = (m[0] for m in self.unit.finditer(_normal(text))), 0, []
                 while part := list(islice(units, _SLICE // 4)):
-                    parts += self._encode([part], [at])
+                    parts += self._encode(part, _keys(salts[k], at, len(part)))
                     at += len(part)
                 out[k] = np.frombuffer(b"".join(parts), "<i4")
-        done = self._encode([self.unit.findall(_normal(texts[k])) for k in ready], [salts[k] for k in ready])
-        for k, ids in zip(ready, done):
-            out[k] = np.frombuffer(ids, "<i4")
+        lists = [self.unit.findall(_normal(texts[k])) for k in ready]
+        if lists:
+            keys = np.concatenate([_keys(salts[k], 0, len(units)) for k, units in zip(ready, lists)])
+            done, at = self._encode(list(chain.from_iterable(lists)), keys), 0
+            for k, units in zip(ready, lists):
+                out[k] = np.frombuffer(b"".join(done[at : at + len(units)]), "<i4")
+                at += len(units)
         return out
 
     def decode(self, ids) -> str:
@@ -292,6 +375,11 @@ def coder(*how) -> PieceCoder:
     return _coders[how]
 
 
+def _keys(salt: int, first: int, n: int) -> np.ndarray:
+    """The keys of a document's words from the place `first` on."""
+    return _mixed_many(np.uint64(salt) + np.arange(first, first + n, dtype=np.uint64) * np.uint64(_ODD))
+
+
 def _salt(seed: int, doc_id) -> int:
     return xxhash.xxh64_intdigest(repr(None if pd.isna(doc_id) else int(doc_id)), seed)
 
@@ -301,25 +389,21 @@ def encode_documents(
     model: str,
     dropout: float = 0.1,
     seed: int = 42,
-    variants: int = 4,
-    with_ids: bool = True,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """doc_id, ids, n_tokens, ids_crc32 (of little-endian signed 32-bit ids), lossless, text_crc32 for each row.
 
     `lossless` says whether decoding the ids gave the text back, byte for byte, and text_crc32 is of the decoded
-    text.  With `with_ids` false the ids stay in the task that made them.  Null and empty texts have no ids, and
-    decode to the empty text; repeated rows get the same ids; an empty table gives an empty result; other
-    columns are not read.
+    text.  Null and empty texts have no ids, and decode to the empty text; rows without an id draw alike, as do
+    repeated rows, which get the same ids; very long texts are encoded whole, a stretch at a time; among equal
+    scores the leftmost merge goes first; an empty table gives an empty result; other columns are not read.
     """
     names = ["doc_id", "ids", "n_tokens", "ids_crc32", "lossless", "text_crc32"]
     schema = "doc_id long, ids array<int>, n_tokens long, ids_crc32 long, lossless boolean, text_crc32 long"
-    if not with_ids:
-        names, schema = [n for n in names if n != "ids"], schema.replace("ids array<int>, ", "")
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = coder(model, dropout, seed, variants)
+        c = coder(model, dropout)
         for batch in batches:
             at = 0
             for texts in slices(batch["text"], _SLICE):
@@ -328,8 +412,7 @@ def encode_documents(
                 out = []
                 for i, text, ids in zip(own, texts, c.encode(texts, [_salt(seed, i) for i in own])):
                     back = c.decode(ids.tolist())
-                    rest = len(ids), zlib.crc32(ids.tobytes()), back == text, zlib.crc32(back.encode())
-                    out.append((i, ids, *rest) if with_ids else (i, *rest))
+                    out.append((i, ids, len(ids), zlib.crc32(ids.tobytes()), back == text, zlib.crc32(back.encode())))
                 yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

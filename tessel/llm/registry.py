@@ -28,7 +28,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piecedrop.encode_documents(
-        table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), dropout=0.1, seed=42, with_ids=False
+        table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), dropout=0.1, seed=42
     )
 
 

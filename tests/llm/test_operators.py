@@ -224,21 +224,51 @@ def test_pieces():
 
     path, rng = vocabulary("piece_bpe_32k.model"), random.Random(3)
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    plain, dropped = piecedrop.PieceCoder(path, 0.0), piecedrop.PieceCoder(path, 0.2, 7)
+    plain, dropped = piecedrop.PieceCoder(path, 0.0), piecedrop.PieceCoder(path, 0.2)
     parts = list("abcdethe .,!'\n\t") + ["  ", "é", "漢", "😀", "the ", "ing", "\xa0", "<s>", "<0x41>", "\x00"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
     assert [x.tolist() for x in plain.encode(texts, [0] * len(texts))] == model.encode(texts)
     texts = [t + rng.choice(["", "▁", " ▁ ▁"]) for t in texts] + [LONG]
     ids = dropped.encode(texts, list(range(len(texts))))
     assert [dropped.decode(x.tolist()) for x in ids] == texts
-    again = piecedrop.PieceCoder(path, 0.2, 7).encode(texts[::-1], list(range(len(texts)))[::-1])[::-1]
+    again = piecedrop.PieceCoder(path, 0.2).encode(texts[::-1], list(range(len(texts)))[::-1])[::-1]
     assert all(np.array_equal(a, b) for a, b in zip(ids, again))
-    units = [t.replace(" ", "▁") for t in texts[:500] if t]
-    for variant in range(2):
-        assert [dropped.segment(u, variant) for u in units] == [
-            np.frombuffer(x, "<i4").tolist() for x in dropped.segment_many(units, variant)
-        ]
-    assert len({tuple(dropped.segment("▁interesting", v)) for v in range(20)}) > 3
+    # Each occurrence of a unit is what its own agenda gives with its own draws, long units too.
+    for rate in (0.05, 0.2, 0.7, 1.0):
+        c = piecedrop.PieceCoder(path, rate)
+        for salt, text in enumerate([*texts[:400], "interesting " * 40, "x" * 70 + "interesting" * 9, LONG[:3000]]):
+            units = c.unit.findall(piecedrop._normal(text)) if text else []
+            keys = piecedrop._keys(salt, 0, len(units)).tolist()
+            want = [i for u, k in zip(units, keys) for i in c.segment(u, k)]
+            assert c.encode([text], [salt])[0].tolist() == want, (rate, text)
+
+
+def test_every_occurrence_draws(spark):
+    """A frequent word has far more segmentations than courses could be dealt out beforehand, on any partitioning."""
+    path = vocabulary("piece_bpe_32k.model")
+    docs = spark.range(1000).selectExpr("id AS doc_id", "'considering international considerations' AS text")
+    rows = piecedrop.encode_documents(docs.repartition(3), path, 0.1, 42).collect()
+    assert len({tuple(r.ids) for r in rows}) > 150 and all(r.lossless for r in rows)
+    plain = piecedrop.encode_documents(docs.limit(1), path, 0.0).first().ids
+    assert 50 < sum(r.ids == plain for r in rows) < 600
+    other = piecedrop.encode_documents(docs.repartition(7, "doc_id"), path, 0.1, 42).collect()
+    assert {(r.doc_id, tuple(r.ids)) for r in rows} == {(r.doc_id, tuple(r.ids)) for r in other}
+    assert {(r.doc_id, tuple(r.ids)) for r in rows} != {(r.doc_id, tuple(r.ids)) for r in piecedrop.encode_documents(docs, path, 0.1, 43).collect()}
+    # The rate is that of the candidates: a word of one merge is skipped in a tenth of its occurrences.
+    c = piecedrop.PieceCoder(path, 0.1)
+    unit = next(u for u in ("▁t", "▁a", "▁w") if c.courses([u], [()])[1][0] == 1)
+    cut = sum(len(x) > 4 for x in c._encode([unit] * 20_000, piecedrop._keys(5, 0, 20_000)))
+    assert 1800 < cut < 2200
+
+
+def test_courses_are_forgotten_and_learnt_again(monkeypatch):
+    path, rng = vocabulary("piece_bpe_32k.model"), random.Random(8)
+    texts = [" ".join(rng.choice(LONG.split()) + rng.choice(["", "ing", "ation"]) for _ in range(30)) for _ in range(60)]
+    want = piecedrop.PieceCoder(path, 0.3).encode(texts, list(range(60)))
+    monkeypatch.setattr(piecedrop, "CACHE_UNITS", 40)
+    monkeypatch.setattr(piecedrop, "CACHE_COURSES", 30)
+    small = piecedrop.PieceCoder(path, 0.3)
+    assert all(np.array_equal(small.encode([t], [k])[0], w) for k, (t, w) in enumerate(zip(texts, want)))
 
 
 def test_decode_documents(spark, sf_dir):
