@@ -199,24 +199,97 @@ def test_decontamination_edges(spark, edge):
     assert Counter((r.doc_id, r.item_id) for r in got) == {(1, 1): 4}
 
 
-def test_block_bounds_lose_nothing():
+def plain_leaks(docs, items, window=64, threshold=0.6, question=0.8, answer=0.8, shingle=5):
+    """(doc, item) -> (score, overlaps), by BM25 of every passage and every piece, from dictionaries."""
+    half, pieces = window // 2, []
+    for i, t in items:
+        ws = decontam.words(t)
+        pieces += [(i, t, Counter(p)) for p in decontam.pieces_of(ws, half)]
+    mean = sum(p.total() for _, _, p in pieces) / len(pieces)
+    held = Counter(w for _, _, p in pieces for w in p)
+    weighed = []
+    for i, t, p in pieces:
+        own = {w: decontam.weights(f, p.total(), held[w], len(pieces), mean, 1.2, 0.75) for w, f in p.items()}
+        weighed.append((i, t, {w: x / sum(own.values()) for w, x in own.items()}))
+    out = {}
+    for d, text in docs:
+        ws = decontam.words(text)
+        places, best = defaultdict(set), defaultdict(float)
+        for k in range(max(1, -(-len(ws) // half) - 1)):
+            seen = set(ws[k * half : k * half + window])
+            for i, t, p in weighed:
+                score = round(sum(x for w, x in p.items() if w in seen), 9)
+                if score >= threshold:
+                    places[i, t].add(k * half)
+                    best[i, t] = max(best[i, t], score)
+        for (i, t), starts in places.items():
+            it, found = decontam.parse_item(t, shingle), []
+            for s in starts:
+                near = ws[max(0, s - it.length) : s + window + it.length]
+                q = len(it.question & decontam.shingles(near, it.shingle)) / max(1, len(it.question))
+                a = sum((it.answer & Counter(near)).values()) / it.answer.total() if it.answer else 1.0
+                found.append((q >= question and a >= answer, (q, a)))
+            ok, over = max(found)
+            if ok:
+                out[d, i] = (best[i, t], *over)
+    return out
+
+
+def altered_passages(rng, items, n):
+    """Texts around items of which some words are dropped or changed."""
+    docs = []
+    for k in range(n):
+        ws = rng.choice(items)[1].split()
+        keep = [w if rng.random() > 0.1 else "changed" for w in ws if rng.random() > rng.choice([0, 0.05, 0.4])]
+        filler = [rng.choice(rng.choice(items)[1].split()) for _ in range(rng.randint(0, 300))]
+        at = rng.randint(0, len(filler))
+        docs.append((k, " ".join(filler[:at] + keep + filler[at:])))
+    return docs
+
+
+@pytest.mark.parametrize("question", [0.8, 0.2])
+def test_decontamination_equals_plain_bm25(spark, sf_dir, question):
+    """Scores, overlaps and verdicts of altered passages, in one index and in many."""
+    rng = random.Random(21)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()][:40]
+    items += [(900 + k, " ".join(rng.choices(items[k][1].split(), k=rng.choice([1, 2, 5, 150])))) for k in range(20)]
+    docs = altered_passages(rng, items, 150) + [(999, " ".join(t for _, t in items) + " tail" * 70_000 + items[3][1])]
+    want = plain_leaks(docs, items, question=question)
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert len(want) > 60
+    for index_words in (200_000, 300):
+        got = {
+            (r.doc_id, r.item_id): (r.score, r.question_overlap, r.answer_overlap)
+            for r in decontam.contamination(*frames, question=question, index_words=index_words).collect()
+        }
+        assert got.keys() == want.keys()
+        assert all(np.allclose(got[k], want[k], atol=1e-8) for k in want)
+
+
+def test_pivots_lose_nothing():
+    """The walk against the sum of all postings, at thresholds from next to nothing up."""
+    import pandas as pd
+
     rng = random.Random(9)
-    vocabulary_ = [f"t{k}" for k in range(80)]
-    items = [(k, " ".join(rng.choices(vocabulary_, k=rng.randint(1, 60)))) for k in range(40)]
-    index = decontam.Index(items, 32, 5, 4)
-    for _ in range(30):
-        ws = rng.choices([*vocabulary_, "other"], k=rng.randint(0, 200))
-        ids = np.array([index.terms.get(w.encode(), -1) for w in ws], np.int64)
-        want = {}
-        for p in range(max(1, -(-len(ws) // 16) - 1)):
-            score = defaultdict(float)
-            for t in set(ids[16 * p : 16 * p + 32].tolist()) - {-1}:
-                lo, hi = np.searchsorted(index.keys, [t * index.blocks, (t + 1) * index.blocks])
-                for k in range(lo, hi):
-                    score[int(index.where[k])] += index.value[k]
-            want |= {(p, k): s for k, s in score.items() if s >= 0.5}
-        got = {(p, k): s for p, k, s in index.retrieve(ids, 0.5)}
-        assert got.keys() == want.keys() and all(math.isclose(got[x], want[x]) for x in got)
+    names = [f"t{k}".encode() for k in range(80)]
+    rows = []
+    for piece in range(120):
+        own = rng.sample(names, rng.randint(1, 20))
+        rows += [(piece, w, rng.random() / len(own)) for w in own]
+    postings = pd.DataFrame(rows, columns=["piece", "term", "weight"])
+    index = decontam.Index([0], [], np.zeros(120, np.int64), postings, 32, 4)
+    lists = [rng.choices([*names, b"other"], k=rng.randint(0, 200)) for _ in range(30)]
+    passage, term, firsts = index.passages(lists)
+    want = {}
+    for first, ws in zip(firsts.tolist(), lists):
+        for k in range(max(1, -(-len(ws) // 16) - 1)):
+            seen = set(ws[16 * k : 16 * k + 32])
+            for piece in range(120):
+                want[first + k, piece] = sum(x for p, w, x in rows if p == piece and w in seen)
+    for threshold in (0.01, 0.2, 0.4):
+        got = {(p, k): s for p, k, s in zip(*(x.tolist() for x in index.retrieve(passage, term, threshold)))}
+        assert got.keys() == {x for x, s in want.items() if round(s, 9) >= threshold} and got
+        assert all(math.isclose(got[x], want[x], abs_tol=1e-8) for x in got)
 
 
 def test_pieces():
