@@ -7,6 +7,7 @@ import uuid
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,9 +23,13 @@ def _own_dir() -> str:
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder's URI under `spark.checkpoint.dir`, which driver and executors share.
 
-    Only where the session names no such folder (tests on one machine) a temporary one takes its place.
+    Only where the session names no such folder and runs on one machine (tests) a temporary one takes its place.
     """
-    top = spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("a cluster's session has to name a shared folder in spark.checkpoint.dir")
+        top = _own_dir()
     return f"{top.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
@@ -39,6 +44,26 @@ def cut(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of one key that a task may well read; a key with more is dealt over several tasks.
+HOT_ROWS = 200_000
+
+
+def spread_join(big: DataFrame, small: DataFrame, key: str, n: str = "n", how: str = "inner", hot: int | None = None) -> DataFrame:
+    """big joined with small on `key`, where keys that hold many rows of `big` are dealt over several tasks.
+
+    `small` has distinct keys, and in `n` (which goes) how many rows of `big` have each.  Keys of over `hot` rows are
+    few, rows of `big` by `hot` at most; they are broadcast, which the caller's bound on rows proves small, and each
+    has as many copies in `small` as tasks.  `big` is read from a table, so that a task run anew deals as before.
+    """
+    hot = hot or HOT_ROWS
+    parts = small.filter(F.col(n) > hot).select(F.col(key).alias("hot_key"), F.ceil(F.col(n) / hot).cast("int").alias("salts"))
+    dealt = big.join(F.broadcast(parts), F.col(key) == F.col("hot_key"), "left")
+    dealt = dealt.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.coalesce("salts", F.lit(1))).cast("int"))
+    last = F.greatest(F.ceil(F.col(n) / hot) - 1, F.lit(0)).cast("int")
+    copies = small.withColumn("salt", F.explode(F.sequence(F.lit(0), last))).drop(n)
+    return dealt.drop("hot_key", "salts").join(copies, [key, "salt"], how).drop("salt")
+
+
 def vocabulary(name: str) -> str:
     """The place of a public tokenizer's file, as installed on this machine."""
     import public_tokenizers

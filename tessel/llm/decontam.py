@@ -24,6 +24,7 @@ import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -161,7 +162,7 @@ class Index:
         lens = np.array([len(x) for x in lists], np.int64)
         firsts = np.cumsum(np.r_[0, np.maximum(1, -(-lens // self.half) - 1)])
         get = self.terms.get
-        ids = np.fromiter((get(w, -1) for ws in lists for w in ws), np.int64, lens.sum())
+        ids = np.fromiter(map(get, chain.from_iterable(lists), repeat(-1)), np.int64, lens.sum())
         at = np.flatnonzero(ids >= 0)
         own = np.repeat(np.arange(len(lists)), lens)[at]
         part = (at - (np.cumsum(lens) - lens)[own]) // self.half

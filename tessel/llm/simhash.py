@@ -4,10 +4,13 @@ Fingerprints are 64 bits over word shingles.  Two that differ in at most three b
 32-bit segments, in all but at most one bit; so every segment is indexed under its 32 variants with one bit
 wiped, equal variants are joined and the pairs verified on all 64 bits.
 
-Buckets of a variant that hold more than `bucket` fingerprints (a family of near copies) are not paired up.
-Their members are linked exactly and in linear work through points of the cube instead: everything within
-distance 1 of a point is within distance 2 of each other, and everything within 1 and within 2 of one point is
-within distance 3, so a star from one member to all others of the point loses no connection.
+Buckets of a variant that hold more than `bucket` fingerprints are not paired up as they are.  A family of near
+copies is first linked in work proportional to its members: everything at most one bit from a point is within two
+bits of each other, so a star from one member to the others of the point loses no connection.  Where that leaves a
+bucket in several groups, the bits that its variant does not fix are cut in the same way again, into halves of 16
+and quarters of 8 bits: of at most three differing bits, one half and one quarter has at most one, and members that
+agree in it up to a wiped bit are paired and verified.  A bucket of the last step leaves eleven bits open and so
+holds 2048 fingerprints at most.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessel.llm.common import cut
+from tessel.llm.common import cut, spread_join
 from tessel.llm.components import connected
 
 SEED = 42
@@ -72,15 +75,10 @@ def _variants(fps: DataFrame) -> DataFrame:
     )
 
 
-def _ball(fps: DataFrame, radius: int) -> DataFrame:
-    """(point, fp) for the points at exactly `radius` bits (1 or 2) from fp, and fp itself with radius 1."""
-    if radius == 1:
-        flips = fps.select("fp", F.explode(F.sequence(F.lit(-1), F.lit(63))).alias("p"))
-        return flips.select("fp", F.expr("CASE WHEN p < 0 THEN fp ELSE fp ^ shiftleft(1L, p) END").alias("point"))
-    pairs = fps.select("fp", F.explode(F.sequence(F.lit(1), F.lit(63))).alias("p")).select(
-        "fp", "p", F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("q")
-    )
-    return pairs.select("fp", F.expr("fp ^ shiftleft(1L, p) ^ shiftleft(1L, q)").alias("point"))
+def _points(fps: DataFrame) -> DataFrame:
+    """(fp, point): fp itself and the 64 points that differ from it in one bit."""
+    flips = fps.select("fp", F.explode(F.sequence(F.lit(-1), F.lit(63))).alias("p"))
+    return flips.select("fp", F.expr("CASE WHEN p < 0 THEN fp ELSE fp ^ shiftleft(1L, p) END").alias("point"))
 
 
 def _stars(points: DataFrame) -> DataFrame:
@@ -99,29 +97,61 @@ _FIRST_MEETING = """
 """
 
 
+def _several(members: DataFrame, keys: list[str]) -> DataFrame:
+    """The members of buckets that hold more than one component, and n, how many they hold."""
+    of = members.groupBy(*keys).agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    return members.join(of.filter("lo <> hi").select(*keys, "n"), keys)
+
+
+def _apart(members: DataFrame, keys: list[str]) -> DataFrame:
+    """The pairs (src, dst) at most three bits apart of one bucket and different components."""
+    a = members.select(*keys, F.col("fp").alias("src"), F.col("component").alias("a"))
+    b = members.select(*keys, F.col("fp").alias("dst"), F.col("component").alias("b"))
+    close = a.join(b, keys).filter("src < dst AND a <> b AND bit_count(src ^ dst) <= 3")
+    return close.select("src", "dst")
+
+
+def _narrowed(members: DataFrame, bucket: int) -> DataFrame:
+    """The pairs of `_apart` in buckets of any size; `members` has key, fp and component."""
+    keys = ["key", "half"]
+    open_ = "CASE WHEN shiftright(key, 32) < 32 THEN shiftrightunsigned(fp, 32) ELSE fp & 4294967295L END"
+    halves = members.select("key", "fp", "component", F.expr(open_).alias("rest"), F.explode(F.sequence(F.lit(0), F.lit(31))).alias("q"))
+    halves = halves.select(
+        "key",
+        F.expr("shiftleft(q, 16) | (cast(shiftright(rest, IF(q < 16, 0, 16)) & 65535L AS int) & ~shiftleft(1, q % 16))").alias("half"),
+        "fp",
+        "component",
+        F.expr("cast(shiftright(rest, IF(q < 16, 16, 0)) & 65535L AS int)").alias("rest"),
+    )
+    halves = cut(_several(halves, keys), "simhash-halves")
+    few = halves.filter(F.col("n") <= bucket)
+    quarters = halves.filter(F.col("n") > bucket).drop("n").withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    quarter = "shiftleft(q, 8) | (shiftright(rest, IF(q < 8, 0, 8)) & 255 & ~shiftleft(1, q % 8))"
+    quarters = _several(quarters.withColumn("quarter", F.expr(quarter)), [*keys, "quarter"])
+    return _apart(few, keys).unionByName(_apart(quarters, [*keys, "quarter"])).distinct()
+
+
 def links(fps: DataFrame, bucket: int = 128) -> DataFrame:
     """Edges (src, dst) over distinct fingerprints whose components are those of "at most 3 bits differ".
 
     `fps` has one column fp of distinct values.
     """
+    # Spread before they become 64 rows each: by their size alone they would come to a few tasks.
+    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     variants = _variants(fps)
     sizes = variants.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = cut(variants.join(sizes, "key"), "simhash-buckets")
+    shared = cut(spread_join(variants, sizes.withColumn("m", F.col("n")), "key", "m"), "simhash-buckets")
     small = shared.filter(F.col("n") <= bucket)
     a = small.select("key", F.col("fp").alias("src"))
     b = small.select(F.col("key").alias("other"), F.col("fp").alias("dst"))
     pairs = a.join(b, (F.col("key") == F.col("other")) & F.expr(_FIRST_MEETING)).select("src", "dst")
-    hot = shared.filter(F.col("n") > bucket).select("fp").distinct()
-    near = cut(_stars(_ball(hot, 1)), "simhash-near")
-    # Links of exactly 3 bits matter only between components that the shorter links leave apart; in such a pair
-    # one side at least is outside the largest of them, and only those need the points at distance 2.
+    large = shared.filter(F.col("n") > bucket)
+    hot = large.select("fp").distinct()
+    near = cut(_stars(_points(hot)), "simhash-near")
+    # A link of three bits matters only between components that the shorter ones leave apart.
     groups = cut(connected(hot, near), "simhash-hot")
-    largest = groups.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1)
-    outside = groups.join(largest, "component", "left_anti").select("fp")
-    inner = _ball(hot, 1)
-    ring = _ball(outside, 2)
-    centre = inner.groupBy("point").agg(F.min("fp").alias("dst"))
-    far = ring.join(centre, "point").filter("fp <> dst").select(F.col("fp").alias("src"), "dst").distinct()
+    placed = cut(large.join(groups, "fp").select("key", "fp", "component"), "simhash-large")
+    far = cut(_narrowed(_several(placed, ["key"]).drop("n"), bucket), "simhash-far")
     return pairs.unionByName(near).unionByName(far)
 
 
@@ -130,16 +160,18 @@ def near_duplicates(
 ) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id of the group) for each row.
 
-    Null and empty texts have fingerprint zero and link like any other.  Rows with one doc_id are one document
-    in the groups and keep a result row each; rows with a null doc_id get the group's smallest id that is not
-    null.  An empty table gives an empty result.  Other columns of `docs` are not read.
+    Null and empty texts have fingerprint zero and link like any other; very long texts count whole; a bit that
+    exactly half of the shingles have is not set.  Rows with one doc_id are one document in the groups and keep a
+    result row each; rows with a null doc_id get the group's smallest id that is not null.  An empty table gives an
+    empty result.  Other columns of `docs` are not read.
     """
     prints = cut(with_fingerprints(docs, shingle, id_col, text_col), "simhash-prints")
-    firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    firsts = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "simhash-firsts")
     groups = connected(firsts.select("fp"), links(firsts.select("fp"), bucket))
     # One document may hold several rows and so several fingerprints; the id is the smallest of the group's.
     joined = cut(groups.join(firsts, "fp"), "simhash-groups")
     least = joined.groupBy("component").agg(F.min("first").alias("component_id"))
-    return prints.join(joined.join(least, "component").select("fp", "component_id"), "fp").select(
+    found = joined.join(least, "component").select("fp", "component_id", "n")
+    return spread_join(prints, found, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )

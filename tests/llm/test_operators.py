@@ -112,6 +112,56 @@ def test_simhash_groups(spark, sf_dir, bucket):
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in got} == brute_groups(rows)
 
 
+@pytest.mark.parametrize("bucket", [1, 6, 128])
+def test_links_of_hot_buckets(spark, bucket):
+    """Fingerprints that share much, in families that three bits part or join, with every size of bucket."""
+    rng = random.Random(bucket)
+    prints = set()
+    for _ in range(12):
+        low, high = rng.getrandbits(32), rng.getrandbits(32)
+        for _ in range(40):
+            x = high << 32 | low
+            for _ in range(rng.choice([0, 1, 3, 3, 3, 5, 6, 9])):
+                x ^= 1 << rng.choice([rng.randrange(64), 32 + rng.randrange(32), 32 + rng.randrange(16)])
+            prints.add(x)
+    prints = sorted(prints)
+    signed = np.array(prints, np.uint64).view(np.int64).tolist()
+    fps = spark.createDataFrame([(x,) for x in signed], "fp long")
+    got = {r.fp: r.component for r in connected(fps, simhash.links(fps, bucket)).collect()}
+    seen = defaultdict(set)
+    want = brute_links(np.array(prints, np.uint64))
+    for k, x in enumerate(signed):
+        seen[want[k]].add(got[x])
+    assert all(len(x) == 1 for x in seen.values()) and len(seen) == len(set(got.values())) > 20
+
+
+def brute_links(prints):
+    parent = list(range(len(prints)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(prints)):
+        for j in np.flatnonzero(np.bitwise_count(prints ^ prints[i]) <= 3):
+            a, b = root(i), root(int(j))
+            parent[max(a, b)] = min(a, b)
+    return [root(k) for k in range(len(prints))]
+
+
+@pytest.mark.parametrize("hot", [1, 3, 1000])
+def test_hot_keys_lose_and_double_nothing(spark, hot):
+    from tessel.llm.common import spread_join
+
+    big = spark.createDataFrame([(k % 5 if k < 60 else None, k) for k in range(80)], "k int, x int")
+    small = big.groupBy("k").agg(F.count("*").alias("n"), F.max("x").alias("m"))
+    got = spread_join(big, small, "k", hot=hot).collect()
+    assert sorted((r.k, r.x, r.m) for r in got) == sorted((k % 5, k, 55 + k % 5) for k in range(60))
+    left = spread_join(big, small.filter("k < 2"), "k", how="left", hot=hot)
+    assert left.count() == 80 and left.filter("m IS NOT NULL").count() == 24
+
+
 def test_plain_fingerprint():
     import xxhash
 
