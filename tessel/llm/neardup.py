@@ -4,10 +4,11 @@ Candidates are the SimHash links of `simhash.py`, over these shingles, and texts
 hashes: 20 bands of 5 find a pair of similarity 0.8 with a chance of 0.9996, and closer ones with a higher one.
 Every candidate is verified on the sets of shingle hashes, so that no pair under the similarity is a link.
 
-Members of a band are compared with the band's least member first.  Only pairs that this leaves in different
-groups are compared with each other: all of them in bands of up to `bucket` members, the least of each group in
-larger ones, and where those are over `bucket` too, the ones that agree in a second band.  So a family of near
-copies takes work in proportion to its members; a pair that only a larger band holds may be missed.
+Members of a band are compared with its member of the fewest shingles: where members share a core and differ in
+what stands around it, no other one is as similar to all of them.  Bands that this leaves in several groups are
+joined by prefixes: with shingles in the order of how many of these texts hold them, two sets of that similarity
+share one of the rarest fifth of either.  So passages that many texts quote make no pairs, and a family of near
+copies takes work in proportion to its members.
 """
 
 from __future__ import annotations
@@ -17,11 +18,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessel.llm import simhash
-from tessel.llm.common import cut
+from tessel.llm.common import cut, spread_join
 from tessel.llm.components import connected
 
 BANDS, ROWS = 20, 5
@@ -31,15 +32,9 @@ _TIMES = _RANDOM.integers(1 << 63, size=BANDS * ROWS, dtype=np.uint64) * np.uint
 _PLUS = _RANDOM.integers(1 << 63, size=BANDS * ROWS, dtype=np.uint64)
 
 
-def shingle_hashes(text: str, shingle: int = 5) -> np.ndarray:
-    """The sorted distinct hashes of a text's shingles; words and short texts are as in `simhash.fingerprint`."""
-    words = text.encode().lower().split()
-    if len(words) < shingle:
-        grams = [b" ".join(words)] if words else []
-    else:
-        grams = map(b" ".join, zip(*(words[k:] for k in range(shingle))))
-    digest = xxhash.xxh64_digest
-    return np.unique(np.frombuffer(b"".join([digest(g, simhash.SEED) for g in grams]), "<u8"))
+def shingle_set(text: str, shingle: int = 5) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles; words and short texts are as in `simhash`."""
+    return np.unique(simhash.shingle_hashes(text, shingle).astype("<u8"))
 
 
 def bands(hashes: np.ndarray) -> list[int]:
@@ -58,17 +53,23 @@ def bands(hashes: np.ndarray) -> list[int]:
 def _sketches(texts: DataFrame, shingle: int) -> DataFrame:
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            fps = np.array([simhash.fingerprint(t, shingle) for t in batch["text"]], np.uint64).view(np.int64)
-            found = [bands(shingle_hashes(t, shingle)) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "key": batch["key"], "fp": fps, "bands": found})
+            fps, sizes, found = [], [], []
+            for text in batch["text"]:
+                hashes = simhash.shingle_hashes(text, shingle)
+                own = np.unique(hashes.astype("<u8"))
+                fps.append(simhash.fingerprint_of(hashes))
+                sizes.append(len(own))
+                found.append(bands(own))
+            signed = np.array(fps, np.uint64).view(np.int64)
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "key": batch["key"], "fp": signed, "size": sizes, "bands": found})
 
-    return texts.mapInPandas(kernel, "doc_id long, key long, fp long, bands array<long>")
+    return texts.mapInPandas(kernel, "doc_id long, key long, fp long, size int, bands array<long>")
 
 
 def _sets(texts: DataFrame, shingle: int) -> DataFrame:
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"key": batch["key"], "held": [shingle_hashes(t, shingle).tobytes() for t in batch["text"]]})
+            yield pd.DataFrame({"key": batch["key"], "held": [shingle_set(t, shingle).tobytes() for t in batch["text"]]})
 
     return texts.mapInPandas(kernel, "key long, held binary")
 
@@ -91,7 +92,25 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return cut(found.select("src", "dst", "a", "b").mapInPandas(kernel, "src long, dst long"), "similar-pairs")
 
 
-def groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, bucket: int = 128) -> DataFrame:
+def _rarest(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(shingle, key) for the prefix of each member's set: its rarest shingles, of which similar sets share one."""
+
+    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for key, held in zip(batch["key"], batch["held"]):
+                own = np.frombuffer(held, "<i8")
+                for k in range(0, len(own), 100_000):
+                    yield pd.DataFrame({"key": key, "size": len(own), "shingle": own[k : k + 100_000]})
+
+    each = cut(sets.join(members, "key").select("key", "held").mapInPandas(kernel, "key long, size int, shingle long"), "prefixes")
+    held = each.groupBy("shingle").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("key").orderBy("n", "shingle"))
+    prefix = F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1
+    ranked = spread_join(each, held.withColumn("m", F.col("n")), "shingle", "m").withColumn("place", place)
+    return ranked.filter((F.col("place") <= prefix) & (F.col("n") > 1)).select("shingle", "key", "size")
+
+
+def groups(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
     """doc_id and component_id (the smallest doc_id of the group) for each row of `docs` (doc_id, text).
 
     Groups are connected by pairs of texts of similarity `least`.  Texts without words are equal to each other.
@@ -99,19 +118,19 @@ def groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, bucket: int =
     """
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
     sketches = cut(_sketches(texts, shingle), "sketches")
-    firsts = cut(
-        sketches.groupBy("key").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("bands").alias("bands")),
-        "texts",
-    )
+    of_text = [F.first(c).alias(c) for c in ("fp", "size", "bands")]
+    firsts = sketches.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"), *of_text)
+    firsts = cut(firsts, "texts")
     # Fingerprints' links, as pairs of the least texts that have them; texts with one fingerprint are a star.
-    heads = firsts.groupBy("fp").agg(F.min("key").alias("head"))
+    heads = firsts.groupBy("fp").agg(F.min("key").alias("head"), F.count("*").alias("n"))
     near = simhash.links(heads.select("fp"))
     near = near.join(heads.select(F.col("fp").alias("src"), F.col("head").alias("a")), "src")
     near = near.join(heads.select(F.col("fp").alias("dst"), F.col("head").alias("b")), "dst")
-    equal = firsts.join(heads, "fp").select(F.col("key").alias("a"), F.col("head").alias("b"))
-    members = firsts.select("key", F.explode("bands").alias("band"))
-    sizes = members.groupBy("band").agg(F.count("*").alias("n"), F.min("key").alias("b")).filter("n > 1")
-    shared = cut(members.join(sizes, "band"), "bands")
+    equal = spread_join(firsts.select("fp", "key"), heads, "fp").select(F.col("key").alias("a"), F.col("head").alias("b"))
+    members = cut(firsts.select("key", "size", F.explode("bands").alias("band")), "bands")
+    centre = F.min(F.struct("size", "key"))["key"].alias("b")
+    sizes = members.groupBy("band").agg(F.count("*").alias("n"), centre).filter("n > 1")
+    shared = cut(spread_join(members, sizes, "band").drop("size"), "bands")
 
     def pairs(found: DataFrame) -> DataFrame:
         return found.filter("a <> b").select(F.greatest("a", "b").alias("src"), F.least("a", "b").alias("dst")).distinct()
@@ -127,20 +146,16 @@ def groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, bucket: int =
     linked = _similar(stars, sets, least)
     first = cut(connected(firsts.select("key"), linked), "first-groups")
 
-    placed = shared.join(first, "key").select("band", "n", "key", "component")
-    large = placed.filter(F.col("n") > bucket).groupBy("band", "component").agg(F.min("key").alias("key"))
-    counted = large.join(large.groupBy("band").agg(F.count("*").alias("m")).filter("m > 1"), "band")
-    second = shared.select("key", F.col("band").alias("other"))
-    many = counted.filter(F.col("m") > bucket).join(second, "key").filter("band <> other")
-    some = placed.filter(F.col("n") <= bucket).unionByName(counted.filter(F.col("m") <= bucket).withColumnRenamed("m", "n"))
-    some = some.select("band", F.lit(0).cast("long").alias("other"), "component", "key")
-    some = cut(some.unionByName(many.select("band", "other", "component", "key")), "apart")
-    a = some.select("band", "other", F.col("component").alias("ca"), F.col("key").alias("a"))
-    b = some.select("band", "other", F.col("component").alias("cb"), F.col("key").alias("b"))
-    rest = cut(pairs(a.join(b, ["band", "other"]).filter("ca < cb")), "candidates")
+    placed = shared.select("band", "key").join(first, "key")
+    apart = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
+    open_ = cut(placed.join(apart.select("band"), "band").select("key", "component").distinct(), "apart")
+    rare = cut(_rarest(open_.select("key"), sets, least).join(open_, "key"), "prefixes")
+    a = rare.select("shingle", F.col("component").alias("ca"), F.col("key").alias("a"), F.col("size").alias("x"))
+    b = rare.select("shingle", F.col("component").alias("cb"), F.col("key").alias("b"), F.col("size").alias("y"))
+    close = (F.col("ca") < F.col("cb")) & (F.least("x", "y") >= least * F.greatest("x", "y"))
+    rest = cut(pairs(a.join(b, "shingle").filter(close)), "candidates")
     final = connected(firsts.select("key"), linked.unionByName(_similar(rest, sets, least)))
-    joined = cut(final.join(firsts.select("key", "first"), "key"), "text-groups")
+    joined = cut(final.join(firsts.select("key", "first", "rows"), "key"), "text-groups")
     ids = joined.groupBy("component").agg(F.min("first").alias("component_id"))
-    return sketches.select("doc_id", "key").join(joined.join(ids, "component").select("key", "component_id"), "key").select(
-        "doc_id", "component_id"
-    )
+    found = joined.join(ids, "component").select("key", "component_id", F.col("rows").alias("n"))
+    return spread_join(sketches.select("doc_id", "key"), found, "key").select("doc_id", "component_id")

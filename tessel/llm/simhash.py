@@ -31,27 +31,35 @@ SEED = 42
 _CHUNK = 1 << 16
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """The unsigned fingerprint of one text: a bit is set where over half of the shingles' hashes have it.
+def shingle_hashes(text: str | None, shingle: int = 3) -> np.ndarray:
+    """The hash of each of a text's shingles, repeats included, as big-endian numbers.
 
     A-Z fold to a-z, words are runs of anything but ASCII white space; a text of fewer words than a shingle has
-    one shingle of all its words, and one without words (or a null) has fingerprint 0.
+    one shingle of all its words, and one without words (or a null) has none.
     """
     words = (text or "").encode().lower().split()
-    if not words:
-        return 0
     if len(words) < shingle:
-        grams = [b" ".join(words)]
+        grams = [b" ".join(words)] if words else []
     else:
         grams = map(b" ".join, zip(*(words[k:] for k in range(shingle))))
     digest = xxhash.xxh64_digest
-    hashes = np.frombuffer(b"".join([digest(g, SEED) for g in grams]), np.uint8)
-    total, ones = len(hashes) // 8, np.zeros(64, np.int64)
+    return np.frombuffer(b"".join([digest(g, SEED) for g in grams]), ">u8")
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """A bit is set where over half of the hashes have it; without any the fingerprint is 0."""
+    total, ones = len(hashes), np.zeros(64, np.int64)
     for k in range(0, total, _CHUNK):
-        ones += np.unpackbits(hashes[8 * k : 8 * (k + _CHUNK)]).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+        part = hashes[k : k + _CHUNK].view(np.uint8)
+        ones += np.unpackbits(part).reshape(-1, 64).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big")
 
 
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """The unsigned fingerprint of one text."""
+    return fingerprint_of(shingle_hashes(text, shingle))
+
+
 def with_fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and fp (the fingerprint as a signed long) of each row."""
 

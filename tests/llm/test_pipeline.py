@@ -58,7 +58,7 @@ def test_near_copies_of_similarity_08_go(spark, sf_dir):
     family = [f"f{j}" for j in range(400)]
     rows += [(20_000 + k, " ".join(family[:k] + ["z"] + family[k + 1 :])) for k in range(40)]
     rows += [(30_000, ""), (30_001, " \n"), (30_002, None)]
-    sets = [set(neardup.shingle_hashes(t or "").tolist()) for _, t in rows]
+    sets = [set(neardup.shingle_set(t or "").tolist()) for _, t in rows]
     parent = list(range(len(rows)))
 
     def root(x):
@@ -77,8 +77,37 @@ def test_near_copies_of_similarity_08_go(spark, sf_dir):
     assert far > 5
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).collect()} == want
-    # Bands of any size lead to the same groups here.
-    assert {r.component_id for r in neardup.groups(docs, bucket=1).collect()} == want
+
+
+def test_shared_passages_make_no_pairs_and_hide_none(spark):
+    """Texts around one long passage, similar only where what stands around it is short or nearly the same."""
+    rng = random.Random(31)
+    core, rows = [f"c{j}" for j in range(300)], []
+    for k in range(260):
+        own = [f"d{k}x{j}" for j in range(rng.choice([5, 30, 90, 120]))]
+        rows.append((k, " ".join(own + core)))
+        if k % 20 == 0:
+            rows.append((1000 + k, " ".join([*own[:-1], "z", *core])))
+    sets = [set(neardup.shingle_set(t).tolist()) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[root(k)] = min(least.get(root(k), i), i)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in neardup.groups(docs).collect()}
+    assert got == {i: least[root(k)] for k, (i, _) in enumerate(rows)}
+    assert 50 < len(set(got.values())) < len(rows) - 5
 
 
 def test_documents_without_id_are_judged_by_their_own_text(spark, sf_dir):
