@@ -17,7 +17,7 @@ import heapq
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pandas as pd
@@ -266,7 +266,9 @@ class PieceCoder:
             shift = np.cumsum(~kept)
             at = at - shift[at]
             word, start, stop, sym, worth, into = (x[kept] for x in (word, start, stop, sym, worth, into))
-            fresh = np.unique(np.concatenate([at, np.maximum(at - 1, 0)]))
+            changed = np.zeros(len(sym), bool)
+            changed[at] = changed[np.maximum(at - 1, 0)] = True
+            fresh = np.flatnonzero(changed)
         word, start, sym = (np.concatenate(x) for x in zip(*done))
         order = np.lexsort((start, word))
         word, start, sym = word[order], start[order], sym[order].astype("<i4")
@@ -300,22 +302,25 @@ class PieceCoder:
             skips: list[tuple[int, ...]] = [()] * len(new)
             self.plain.extend(new, new, skips, *self.courses(new, skips))
         known = self.plain.known
-        return np.fromiter((known.get(u, -1) for u in units), np.int64, len(units))
+        return np.fromiter(map(known.get, units, repeat(-1)), np.int64, len(units))
 
     def _turn(self, held: Courses, course: np.ndarray, at: np.ndarray) -> np.ndarray:
         """The course that leaves each course by skipping its merge `at`."""
         step = int(held is self.others)
         each, where = np.unique(course << 8 | at << 1 | step, return_inverse=True)
         known = self.others.known
-        found = [known.get(x, -1) for x in each.tolist()]
+        found = list(map(known.get, each.tolist(), repeat(-1)))
         new = [k for k, x in enumerate(found) if x < 0]
         if new:
-            froms = [(int(each[k]) >> 8, int(each[k]) >> 1 & 127) for k in new]
-            units = [held.units[c] for c, _ in froms]
-            skips = [(*held.skips[c], int(held.codes[held.first[c] + j])) for c, j in froms]
+            names = each[new]
+            froms = names >> 8
+            codes = held.codes[held.first[froms] + (names >> 1 & 127)].tolist()
+            froms = froms.tolist()
+            units = list(map(held.units.__getitem__, froms))
+            skips = [(*held.skips[c], code) for c, code in zip(froms, codes)]
             for k, x in zip(new, range(len(self.others.ids), len(self.others.ids) + len(new))):
                 found[k] = x
-            self.others.extend(each[new].tolist(), units, skips, *self.courses(units, skips))
+            self.others.extend(names.tolist(), units, skips, *self.courses(units, skips))
         return np.array(found, np.int64)[where]
 
     def _encode(self, units: list[str], keys: np.ndarray) -> list[bytes]:
