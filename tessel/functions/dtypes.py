@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -50,4 +52,9 @@ def literal(value, dtype) -> Column:
     if dtype.kind == "c":
         value = complex(value)
         return F.struct(F.lit(value.real).cast("double").alias("re"), F.lit(value.imag).cast("double").alias("im"))
-    return F.lit(dtype.type(value).item()).cast(spark_type(dtype))
+    return F.lit(item(dtype.type(value), dtype)).cast(spark_type(dtype))
+
+
+def item(value, dtype):
+    """A NumPy scalar as the Python value that Spark takes for its type."""
+    return Decimal(value.item()) if dtype == np.uint64 else value.item()

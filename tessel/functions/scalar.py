@@ -1,12 +1,14 @@
 """Column expressions with NumPy's meaning, safe under ANSI mode.
 
 Spark raises on division by zero, truncates integer quotients, orders NaN above all numbers and gives null for
-logarithms outside their range.  All of that is settled here and nowhere else.  Integer overflow and integer
-division by zero raise.
+logarithms outside their range.  All of that is settled here and nowhere else.  Signed overflow and integer
+division by zero raise; unsigned types wrap, as C and NumPy have it.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,6 +35,8 @@ def to_dtype(x: Column, old, new) -> Column:
         raise NotImplementedError("complex values have no real counterpart: take real or imag")
     if old.kind == "f" and new.kind in "iu":
         raise NotImplementedError("floating point to integer")
+    if new.kind == "u" and old.kind in "iu":
+        return wrapped(x, 8 * new.itemsize).cast(spark_type(new))
     return x.cast(spark_type(new))
 
 
@@ -59,36 +63,105 @@ def multiply(a: Column, b: Column, kind: str) -> Column:
 
 def divide(a: Column, b: Column, kind: str = "f") -> Column:
     if kind == "c":
-        (p, q), (r, s) = _parts(a), _parts(b)
-        d = r * r + s * s
-        return _complex(divide(p * r + q * s, d), divide(q * r - p * s, d))
-    by_zero = F.when((a == 0) | F.isnan(a), NAN).when(a > 0, INF).otherwise(-INF)
+        return _complex_divide(a, b)
+    # Zeros are equal; only their text tells the negative one.
+    below = (a < 0) != b.cast("string").startswith("-")
+    by_zero = F.when((a == 0) | F.isnan(a), NAN).when(below, -INF).otherwise(INF)
     return F.when(b == 0, by_zero).otherwise(a / F.when(b == 0, F.lit(1).cast("double")).otherwise(b))
 
 
+def _complex_divide(a: Column, b: Column) -> Column:
+    """By the larger part of the divisor, so that its square can't overflow."""
+    (p, q), (r, s) = _parts(a), _parts(b)
+    wide = F.abs(r) >= F.abs(s)
+    large, small = F.when(wide, r).otherwise(s), F.when(wide, s).otherwise(r)
+    ratio = F.when(large == 0, 0.0).otherwise(divide(small, large))
+    scale = large + small * ratio
+    re = F.when(wide, p + q * ratio).otherwise(p * ratio + q)
+    im = F.when(wide, q - p * ratio).otherwise(q * ratio - p)
+    return _complex(divide(re, scale), divide(im, scale))
+
+
+def _remainder(a: Column, b: Column) -> Column:
+    """Of the truncated quotient, exact; not a number where there is none."""
+    none = (b == 0) | F.isnan(b) | F.isnan(a) | a.isin(INF, -INF)
+    return F.when(none, NAN).otherwise(a % F.when(none, F.lit(1).cast("double")).otherwise(b))
+
+
+def _apart(r: Column, b: Column) -> Column:
+    """A remainder that has the other sign than the divisor."""
+    return (r != 0) & ((r < 0) != (b < 0))
+
+
 def floor_divide(a: Column, b: Column, kind: str) -> Column:
     if kind == "f":
-        q = divide(a, b)
-        odd = F.isnan(q) | q.isin(INF, -INF) | (F.abs(q) >= 2.0**53)
-        return F.when(a.isin(INF, -INF), NAN).when(odd, q).otherwise(F.floor(F.when(odd, 0.0).otherwise(q)).cast("double"))
+        r = _remainder(a, b)
+        whole = (a - r) / F.when(b == 0, F.lit(1).cast("double")).otherwise(b) - F.when(_apart(r, b), 1.0).otherwise(0.0)
+        odd = F.isnan(whole) | (F.abs(whole) >= 2.0**52)
+        # The quotient of what is divisible may be off by its rounding.
+        near = F.round(F.when(odd, 0.0).otherwise(whole)).cast("double")
+        return F.when(b == 0, divide(a, b)).when(odd, whole).otherwise(near)
+    if kind == "u":
+        # Exact: what is divided is a multiple of the divisor.
+        return ((a - a % b) / b).cast("decimal(20,0)")
     a, b = a.cast("bigint"), b.cast("bigint")
     whole = F.call_function("div", a, b)
-    return whole - ((a % b != 0) & ((a < 0) != (b < 0))).cast("bigint")
+    return whole - _apart(a % b, b).cast("bigint")
 
 
 def modulo(a: Column, b: Column, kind: str) -> Column:
     """The remainder has the divisor's sign."""
+    r = _remainder(a, b) if kind == "f" else a % b
     if kind == "f":
-        safe = F.when((b == 0) | F.isnan(b), 1.0).otherwise(b)
-        bad = (b == 0) | F.isnan(b) | F.isnan(a) | a.isin(INF, -INF)
-        return F.when(bad, NAN).otherwise(((a % safe) + safe) % safe)
-    return ((a % b) + b) % b
+        r = F.when(r == 0, F.when(b < 0, F.lit(-0.0)).otherwise(0.0)).otherwise(r)
+    return F.when(_apart(r, b), r + b).otherwise(r)
 
 
 def power(a: Column, b: Column) -> Column:
     return F.pow(a, b)
 
 
+def whole_power(a: Column, b: Column, times) -> Column:
+    """An exact power of integers by repeated squares; `times` multiplies.  Negative exponents raise."""
+    out, square = F.lit(1), a
+    for k in range(6):
+        bit = F.shiftright(b, k) % 2 == 1
+        out = F.when(bit, times(out, square)).otherwise(out)
+        # No square beyond the last that counts: it might overflow for nothing.
+        square = F.when(F.shiftright(b, k + 1) > 0, times(square, square)).otherwise(F.lit(1))
+    bad = F.raise_error(F.lit("integers to negative integer powers"))
+    # From 64 on only 0, 1 and -1 have powers in 64 bits.
+    far = F.when(F.abs(a) <= 1, F.when(b % 2 == 0, a * a).otherwise(a)).otherwise(F.raise_error(F.lit("integer overflow")).cast("bigint"))
+    return F.when(b < 0, bad.cast("bigint")).when(b >= 64, far).otherwise(out)
+
+
+def wrapped(x: Column, bits: int) -> Column:
+    """A whole number modulo 2**bits, as unsigned types of 8, 16 and 32 bits (bigint) and 64 (decimal) hold it."""
+    if bits < 64:
+        return x.cast("bigint").bitwiseAND((1 << bits) - 1)
+    return F.pmod(x.cast("decimal(38,0)"), F.lit(Decimal(1 << 64)).cast("decimal(38,0)")).cast("decimal(20,0)")
+
+
+def as_signed(x: Column) -> Column:
+    """The bits of an unsigned number of 64 bits as a bigint."""
+    over = x >= F.lit(Decimal(1 << 63))
+    return F.when(over, x - F.lit(Decimal(1 << 64))).otherwise(x).cast("bigint")
+
+
+def unsigned_multiply(a: Column, b: Column, bits: int) -> Column:
+    """The product modulo 2**bits, whose steps fit into a bigint or a decimal."""
+    if bits < 32:
+        return wrapped(a.cast("bigint") * b.cast("bigint"), bits)
+    a, b = a.cast("decimal(20,0)"), b.cast("decimal(20,0)")
+    if bits == 32:
+        return (a * b % F.lit(Decimal(1 << 32)).cast("decimal(20,0)")).cast("bigint")
+    half = F.lit(Decimal(1 << 32)).cast("decimal(20,0)")
+    low = (a % half).cast("decimal(10,0)")
+    high = ((a - low) / half).cast("decimal(10,0)")
+    upper = (high * (b % half).cast("decimal(10,0)") % half).cast("decimal(10,0)")
+    return wrapped(upper.cast("decimal(20,0)") * half.cast("decimal(11,0)") + low * b, 64)
+
+
 def bitwise(op: str, a: Column, b: Column, kind: str) -> Column:
     if kind == "b":
         return {"and": a & b, "or": a | b, "xor": a != b}[op]

@@ -15,13 +15,14 @@ from __future__ import annotations
 import math
 import tempfile
 from collections.abc import Callable, Hashable, Sequence
+from decimal import Decimal
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessel.functions import scalar
-from tessel.functions.dtypes import literal, normal, result_type, spark_type
+from tessel.functions.dtypes import item, literal, normal, result_type, spark_type
 from tessel.operators.shapes import broadcast_shapes, grid, normal_shape, unflatten
 
 #: A side of a join is broadcast if its cells take less than this by its shape, which is known exactly.
@@ -111,6 +112,10 @@ class Array:
         disk, and are computed anew where an executor is lost."""
         return self._copy(df=self.relation().persist(), value=F.col("v"))
 
+    def released(self) -> None:
+        """Gives up what `stored` keeps."""
+        self.df.unpersist()
+
     def checkpointed(self) -> Array:
         """Written to the checkpoint folder, with its lineage cut: for loops whose plans would grow.
 
@@ -120,6 +125,8 @@ class Array:
         context = self.spark.sparkContext
         if context.getCheckpointDir() is None:
             named = self.spark.conf.get("spark.checkpoint.dir", None)
+            if not named and not context.master.startswith("local"):
+                raise RuntimeError("a cluster's session has to name a shared folder in spark.checkpoint.dir")
             context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         return self._copy(df=self.relation().checkpoint(), value=F.col("v"))
 
@@ -136,7 +143,7 @@ class Array:
         """The whole array on the driver: for tests and small results."""
         out = np.zeros(self.shape, self.dtype)
         for *at, v in self.relation().collect():
-            out[tuple(at)] = complex(v["re"], v["im"]) if self.dtype.kind == "c" else v
+            out[tuple(at)] = complex(v["re"], v["im"]) if self.dtype.kind == "c" else int(v) if self.dtype.kind == "u" else v
         return out
 
     # -- operators ----------------------------------------------------------------------------------------
@@ -206,6 +213,10 @@ class Array:
     def __neg__(self):
         if self.dtype.kind == "c":
             return multiply(self, -1)
+        if self.dtype.kind == "b":
+            raise TypeError("booleans have no negative")
+        if self.dtype.kind == "u":
+            return subtract(self.dtype.type(0), self)
         return elementwise(lambda x: -x, self.dtype, self)
 
     def __pos__(self):
@@ -292,7 +303,7 @@ def from_numpy(spark: SparkSession, data) -> Array:
     data = np.asarray(data)
     dtype = normal(data.dtype)
     flat = data.ravel()
-    cells = [[complex(x).real, complex(x).imag] if dtype.kind == "c" else x.item() for x in flat]
+    cells = [[complex(x).real, complex(x).imag] if dtype.kind == "c" else item(x, dtype) for x in flat]
     rows = [(k, tuple(v) if dtype.kind == "c" else v) for k, v in enumerate(cells)]
     df = spark.createDataFrame(rows, f"flat bigint, v {spark_type(dtype)}")
     names = [c.alias(f"i{k}") for k, c in enumerate(unflatten(F.col("flat"), data.shape))]
@@ -444,12 +455,29 @@ def binary(name: str, f: Callable[[Column, Column, str], Column], a, b, out=None
     out = normal(out or dtype)
 
     def g(x: Column, y: Column) -> Column:
+        if out.kind == "u":
+            return _unsigned(name, f, x, y, out)
         found = f(x, y, dtype.kind)
         return found if out.kind in "cb" else found.cast(spark_type(out))
 
     return elementwise(g, out, _converted(a, dtype), _converted(b, dtype))
 
 
+def _unsigned(name: str, f: Callable, x: Column, y: Column, dtype: np.dtype) -> Column:
+    """An operator of unsigned numbers, modulo 2**bits."""
+    bits = 8 * dtype.itemsize
+    if name == "multiply":
+        return scalar.unsigned_multiply(x, y, bits).cast(spark_type(dtype))
+    if name.startswith("bitwise") and bits == 64:
+        x, y = (scalar.as_signed(c) for c in (x, y))
+        return scalar.wrapped(f(x, y, "i"), bits)
+    if name in ("add", "subtract"):
+        wide = "bigint" if bits < 64 else "decimal(38,0)"
+        x, y = x.cast(wide), y.cast(wide)
+    found = f(x, y, "u" if bits == 64 else "i")
+    return scalar.wrapped(found, bits).cast(spark_type(dtype))
+
+
 def add(a, b):
     return binary("add", scalar.add, a, b)
 
@@ -479,22 +507,62 @@ def divide(a, b):
     return elementwise(g, dtype, _converted(a, dtype), _converted(b, dtype))
 
 
+def _real(name: str, a, b):
+    if not (is_scalar(a) and is_scalar(b)) and common_type(a, b).kind in "cb":
+        raise TypeError(f"{name} takes real numbers, not {common_type(a, b)}")
+
+
 def floor_divide(a, b):
+    _real("floor_divide", a, b)
     return binary("floor_divide", scalar.floor_divide, a, b)
 
 
 def modulo(a, b):
+    _real("mod", a, b)
     return binary("mod", scalar.modulo, a, b)
 
 
 def power(a, b):
+    """Of integers exact, by repeated squares; of other numbers in doubles."""
     if is_scalar(a) and is_scalar(b):
         return np.power(a, b)
     dtype = common_type(a, b)
     if dtype.kind == "c":
         raise NotImplementedError("powers of complex values")
-    f = lambda x, y: scalar.power(x.cast("double"), y.cast("double")).cast(spark_type(dtype))
-    return elementwise(f, dtype, *[a if isinstance(a, Array) else literal(a, np.asarray(a).dtype) for a in (a, b)])
+    if dtype.kind == "b":
+        raise TypeError("powers of booleans")
+    if dtype.kind == "f":
+        f = lambda x, y: scalar.power(x.cast("double"), y.cast("double")).cast(spark_type(dtype))
+        return elementwise(f, dtype, *[a if isinstance(a, Array) else literal(a, np.asarray(a).dtype) for a in (a, b)])
+    if is_scalar(b) and b < 0:
+        raise ValueError("integers to negative integer powers")
+    bits = 8 * dtype.itemsize
+
+    def whole(x: Column, y: Column) -> Column:
+        if dtype.kind == "i":
+            return scalar.whole_power(x.cast("bigint"), y.cast("bigint"), lambda p, q: p * q).cast(spark_type(dtype))
+        if bits == 64:
+            # Exponents from 64 on wrap like others; they are taken as they are, a bit at a time.
+            one, half = F.lit(Decimal(1)).cast("decimal(20,0)"), F.lit(Decimal(1 << 32)).cast("decimal(20,0)")
+            parts = ((y % half).cast("bigint"), ((y - y % half) / half).cast("bigint"))
+            return _wrapped_power(x, parts, one, bits)
+        return _wrapped_power(x, (y.cast("bigint"),), F.lit(1).cast("bigint"), bits).cast(spark_type(dtype))
+
+    return elementwise(whole, dtype, _converted(a, dtype), _converted(b, dtype))
+
+
+def _wrapped_power(x: Column, parts: Sequence[Column], one: Column, bits: int) -> Column:
+    """Modulo 2**bits, by a square for each bit of the exponent; `parts` are its halves of 32 bits, lower first."""
+    times = lambda p, q: scalar.unsigned_multiply(p, q, bits)
+    found = F.struct(one.alias("out"), (x if bits == 64 else x.cast("bigint")).alias("square"))
+    for e in parts:
+
+        def step(acc: Column, k: Column) -> Column:
+            out = F.when(F.getbit(e, k) == 1, times(acc["out"], acc["square"])).otherwise(acc["out"])
+            return F.struct(out.alias("out"), times(acc["square"], acc["square"]).alias("square"))
+
+        found = F.aggregate(F.sequence(F.lit(0), F.lit(31)), found, step)
+    return found["out"]
 
 
 def _bits(name: str, op: str, a, b):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessel.functions import scalar
 from tessel.functions.dtypes import spark_type
 from tessel.operators.array import Array, full
-from tessel.operators.shapes import reduced_axes
+from tessel.operators.shapes import flat_index, reduced_axes
 
 _MISSING = object()
 
@@ -24,7 +24,7 @@ def _neutral(name: str, dtype: np.dtype):
         return 1
     if dtype.kind == "f":
         return -math.inf if name == "amax" else math.inf
-    if dtype.kind == "i":
+    if dtype.kind in "iu":
         return (np.iinfo(dtype).min if name == "amax" else np.iinfo(dtype).max).item()
     raise TypeError(f"{name} has no neutral element in {dtype}")
 
@@ -42,12 +42,8 @@ def _aggregate(name: str, a: Array) -> Column:
     if kind == "b":
         return {"sum": F.bool_or(v), "prod": F.bool_and(v), "amax": F.bool_or(v), "amin": F.bool_and(v)}[name]
     if name == "sum":
-        return F.sum(v).cast(to)
+        return scalar.wrapped(F.sum(v), 8 * a.dtype.itemsize).cast(to) if kind == "u" else F.sum(v).cast(to)
     if name == "prod":
-        if kind in "iu":
-            # Exact: an overflow raises, as it does in sums, where a product of doubles would round.
-            whole = F.aggregate(F.collect_list(v.cast("bigint")), F.lit(1).cast("bigint"), lambda x, y: x * y)
-            return whole.cast(to)
         return F.product(v).cast(to)
     if name == "amax":
         return F.max(v)  # NaN is Spark's greatest value, so it propagates
@@ -56,6 +52,38 @@ def _aggregate(name: str, a: Array) -> Column:
     return F.min(v)
 
 
+#: Factors that are multiplied at a time.
+_FACTORS = 64
+
+
+def _whole_products(rows, groups: list[Column], a: Array, axes: tuple[int, ...]):
+    """Exact products of integers: in rounds, each over lists of `_FACTORS` cells, which the coordinates of the
+    reduced axes number, so that no list grows with the array.  Signed overflow raises at the end, unless a factor
+    is 0; unsigned products wrap."""
+    n = math.prod(a.shape[k] for k in axes)
+    flat = flat_index([F.col(f"i{k}") for k in axes], [a.shape[k] for k in axes])
+    names = [f"i{j}" for j in range(len(groups))]
+    wraps = a.dtype.kind == "u"
+    v = F.col("v") if wraps else F.when(F.col("v") == 0, 1).otherwise(F.col("v")).cast("bigint")
+    work = rows.select(*groups, flat.alias("at"), v.alias("p"), (F.col("v") == 0).alias("zero"))
+
+    def times(x: Column, y: Column) -> Column:
+        return scalar.unsigned_multiply(x, y, 8 * a.dtype.itemsize).cast(spark_type(a.dtype)) if wraps else F.try_multiply(x, y)
+
+    while True:
+        work = work.withColumn("at", F.call_function("div", F.col("at"), F.lit(_FACTORS).cast("bigint")))
+        factors = F.collect_list(F.struct("p"))
+        one = F.lit(1).cast(spark_type(a.dtype) if wraps else "bigint")
+        product = F.aggregate(factors, one, lambda x, y: times(x, y["p"]))
+        work = work.groupBy(*names, "at").agg(product.alias("p"), F.bool_or("zero").alias("zero"))
+        n = -(-n // _FACTORS)
+        if n == 1:
+            break
+    over = F.raise_error(F.lit("integer overflow in a product")).cast("bigint")
+    whole = F.when(F.col("zero"), 0).when(F.col("p").isNull(), over).otherwise(F.col("p"))
+    return work.select(*names, F.col("p").alias("v") if wraps else whole.cast(spark_type(a.dtype)).alias("v"))
+
+
 def _reduce(name: str, a: Array, axis, initial=_MISSING) -> Array:
     axes = reduced_axes(axis, a.ndim)
     if initial is not _MISSING and initial is not None and initial != _neutral(name, a.dtype):
@@ -70,7 +98,10 @@ def _reduce(name: str, a: Array, axis, initial=_MISSING) -> Array:
         return a
     rows = a.relation()
     groups = [F.col(f"i{k}").alias(f"i{j}") for j, k in enumerate(kept)]
-    out = rows.groupBy(*groups).agg(_aggregate(name, a).alias("v"))
+    if name == "prod" and a.dtype.kind in "iu":
+        out = _whole_products(rows, groups, a, axes)
+    else:
+        out = rows.groupBy(*groups).agg(_aggregate(name, a).alias("v"))
     return Array(out, shape, a.dtype, tags=a.tags, axis_tags=[a.axis_tags[k] for k in kept])
 
 
@@ -79,7 +110,7 @@ def sum(a: Array, axis=None, initial=0) -> Array:
 
 
 def prod(a: Array, axis=None, initial=1) -> Array:
-    """Integer products are exact, from lists of an aggregated group; floating-point ones are aggregated."""
+    """Integer products are exact; floating-point ones are aggregated in doubles."""
     return _reduce("prod", a, axis, initial)
 
 
