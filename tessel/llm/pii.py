@@ -15,8 +15,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import cut
-from tessel.llm.spans import digest, joined, replaced
+from tessel.llm.common import cut, spread_join
+from tessel.llm.spans import digest, joined, overlaps, replaced
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -103,12 +103,12 @@ def _hash(value: str) -> int:
 
 
 def scan(docs: DataFrame, window: int = 10) -> DataFrame:
-    """Each row's base spans and the words around them; `docs` has doc_id and text."""
+    """Each row's base spans and the words around them; `docs` has doc_id, row (a key of the text) and text."""
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for i, text in zip(batch["doc_id"], batch["text"]):
+            for i, row, text in zip(batch["doc_id"], batch["row"], batch["text"]):
                 base, around = base_spans(text), []
                 for kind, a, b in base:
                     inside = [(x, y) for _, x, y in base]
@@ -116,19 +116,20 @@ def scan(docs: DataFrame, window: int = 10) -> DataFrame:
                     seen = _hash(" ".join(w for w, _, _ in words).lower())
                     around.append((_hash(entity(kind, text[a:b])), seen, words))
                 counts = [sum(k == kind for k, _, _ in base) for kind in KINDS]
-                out.append((i, _hash(text), *counts, digest(base), joined(base), around))
+                out.append((i, row, *counts, digest(base), joined(base), around))
             yield pd.DataFrame(out, columns=_NAMES).astype({"doc_id": "Int64"})
 
     return docs.mapInPandas(kernel, _FOUND)
 
 
-def disclosure(found: DataFrame, docs: DataFrame, window: int, support: int) -> DataFrame:
+def disclosure(found: DataFrame, docs: DataFrame, window: int, support: int, z: float) -> DataFrame:
     """(entity, term, share): how much of an entity's information a term gives away, at most 1.
 
     A context is a distinct stretch of words around the entity, so that copies of a document count once.
     share = log2(p(term | context of the entity) / p(term)) / -log2 p(entity), where p(term) is the chance that
-    a stretch of as many words holds the term, from its count over the whole corpus.  Pairs with fewer than
-    `support` contexts are no evidence and not estimated.
+    a stretch of as many words holds the term, from its count over the whole corpus, and p(term | context) is the
+    lower bound of Wilson's interval at `z` deviations, so that few contexts say less than many.  A term in fewer
+    than `support` of them is no more than what happens to stand there.
     """
     stretch = 2 * window
     each = found.select(F.explode("around").alias("a")).select("a.entity", "a.context", "a.words")
@@ -139,68 +140,84 @@ def disclosure(found: DataFrame, docs: DataFrame, window: int, support: int) ->
     pairs = terms.distinct().groupBy("entity", "term").agg(F.count("*").alias("both")).filter(F.col("both") >= support)
     alone = contexts.groupBy("entity").agg(F.count("*").alias("alone"))
     pairs = cut(pairs.join(alone, "entity"), "pii-pairs")
-    words = docs.select(F.explode(F.split("text", _SPACE)).alias("w"))
-    total = docs.agg(F.sum(F.size(F.split("text", _SPACE))).alias("total"))
-    counts = (
-        words.select(F.lower(F.btrim("w", F.lit(_EDGE))).alias("term"))
-        .join(pairs.select("term").distinct(), "term")  # broadcast by Spark where its written size allows
-        .groupBy("term")
-        .agg(F.count("*").alias("n"))
-    )
+    # Counted task by task before they are joined: a word as common as "the" is a row of each task.
+    words = docs.select(F.explode(F.split("text", _SPACE)).alias("w")).select(F.lower(F.btrim("w", F.lit(_EDGE))).alias("term"))
+    counts = cut(words.filter("term <> ''").groupBy("term").agg(F.count("*").alias("n")), "pii-words")
+    total = counts.agg(F.sum("n").alias("total"))
     chance = F.least(F.lit(1.0), F.col("n") * stretch / F.col("total"))
     carried = -F.log2(F.least(F.lit(0.5), F.col("alone") * stretch / F.col("total")))
+    p, n, zz = F.col("both") / F.col("alone"), F.col("alone"), z * z
+    given = (p + zz / (2 * n) - z * F.sqrt(p * (1 - p) / n + zz / (4 * n * n))) / (1 + zz / n)
     return (
         pairs.join(counts, "term")
         .crossJoin(F.broadcast(total))  # one row
-        .select("entity", "term", (F.log2(F.col("both") / F.col("alone") / chance) / carried).alias("share"))
+        .select("entity", "term", (F.log2(given / chance) / carried).alias("share"))
     )
 
 
+def term_spans(text: str, shares: dict[str, float], remove: float) -> list[tuple[str, int, int]]:
+    """All places of the terms outside the base spans: kind `term`, then kind `drop`, each by start."""
+    base = base_spans(text)
+    found = []
+    for m in _WORD.finditer(text):
+        core = m[0].strip(_EDGE)
+        share = shares.get(core.lower())
+        if share is not None:
+            start = m.start() + len(m[0]) - len(m[0].lstrip(_EDGE))
+            if not overlaps(start, start + len(core), base):
+                found.append(("drop" if share >= remove else "term", start, start + len(core)))
+    return sorted(found, key=lambda x: (x[0] == "drop", x[1]))
+
+
 def protect(
     docs: DataFrame,
     window: int = 10,
-    support: int = 3,
+    support: int = 2,
     generalise: float = 0.7,
     remove: float = 0.9,
+    z: float = 1.0,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """For each row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_terms.
 
-    `spans` has the base spans by kind and start, then the terms around them whose share of an entity's
-    information reaches `generalise` (kind `term`) or `remove` (kind `drop`); see `disclosure`.  Null and empty
-    texts have none; repeated rows get a result row each and count as one context; an empty table gives an
-    empty result; other columns are not read.
+    `spans` has the base spans by kind and start, then, wherever they stand in a text that holds the entity, the
+    terms whose share of its information reaches `generalise` (kind `term`) or `remove` (kind `drop`); see
+    `disclosure`.  A term of several entities counts by its largest share; a share equal to a threshold reaches it.
+    Null and empty texts have no spans; very long ones are scanned whole; repeated rows get a result row each and
+    count as one context; an empty table gives an empty result; other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.withColumn("row", F.xxhash64("text"))
     found = cut(scan(rows, window), "pii")
-    shares = disclosure(found, rows, window, support).filter(F.col("share") >= generalise)
-    near = (
-        found.filter(F.size("around") > 0)
-        .select("doc_id", "row", F.explode("around").alias("a"))
-        .select("doc_id", "row", "a.entity", F.explode("a.words").alias("w"))
-        .select("doc_id", "row", "entity", F.lower("w.w").alias("term"), F.col("w.start").alias("start"), F.col("w.end").alias("end"))
-    )
-    hits = (
-        near.join(shares, ["entity", "term"])
-        .groupBy("doc_id", "row", "start", "end")
-        .agg(F.max("share").alias("share"))
-        .select("doc_id", "row", F.struct((F.col("share") >= remove).alias("gone"), "start", "end").alias("s"))
-    )
-    lists = hits.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list("s")).alias("terms"))
-    base = found.drop("around")
-    same = base["doc_id"].eqNullSafe(lists["doc_id"]) & (base["row"] == lists["row"])
-    text = F.expr("transform(terms, s -> concat_ws(':', if(s.gone, 'drop', 'term'), s.start, s.end))")
-    spans = F.concat(F.filter(F.array("base"), lambda b: b != ""), F.coalesce(text, F.expr("array()")))
-    return base.join(lists, same, "left").select(
-        base["doc_id"],
+    telling = disclosure(found, rows, window, support, z).filter(F.col("share") >= generalise)
+    by_entity = telling.groupBy("entity").agg(F.collect_list(F.struct("term", "share")).alias("terms"))
+    # What a text's terms are depends on the text alone, so that copies of it are one.
+    held = cut(found.filter(F.size("around") > 0).select("row", F.explode("around.entity").alias("entity")).distinct(), "pii-held")
+    by_entity = by_entity.join(held.groupBy("entity").agg(F.count("*").alias("n")), "entity")
+    each = spread_join(held, by_entity, "entity").select("row", F.explode("terms").alias("t"))
+    flagged = each.groupBy("row", "t.term").agg(F.max("t.share").alias("share")).groupBy("row")
+    flagged = cut(flagged.agg(F.collect_list(F.struct("term", "share")).alias("terms")), "pii-terms")
+    texts = rows.join(flagged, "row").groupBy("row").agg(F.first("text").alias("text"), F.first("terms").alias("terms"))
+
+    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            spans = [
+                term_spans(text, {t["term"]: t["share"] for t in terms}, remove) for text, terms in zip(batch["text"], batch["terms"])
+            ]
+            yield pd.DataFrame({"row": batch["row"], "added": list(map(joined, spans)), "n_terms": list(map(len, spans))})
+
+    marked = cut(texts.mapInPandas(kernel, "row long, added string, n_terms long"), "pii-spans")
+    marked = found.groupBy("row").agg(F.count("*").alias("n")).join(marked.filter("n_terms > 0"), "row")
+    return spread_join(found.drop("around"), marked, "row", how="left").select(
+        "doc_id",
         "n_email",
         "n_ip",
         "n_card",
         "n_phone",
         "base_sha256",
-        F.array_join(spans, ",").alias("spans"),
-        F.coalesce(F.size("terms"), F.lit(0)).cast("long").alias("n_terms"),
+        F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), "added").alias("spans"),
+        F.coalesce("n_terms", F.lit(0)).cast("long").alias("n_terms"),
     )
 
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import cut
+from tessel.llm.common import cut, spread_join
 from tessel.llm.spans import Span, digest, joined, overlaps, replaced
 
 KINDS = ("assign", "access", "hex")
@@ -154,11 +154,11 @@ def find_secrets(
     empty table gives an empty result; other columns are not read.
     """
     found = cut(scan(docs, owner, repo, least_bits, id_col, text_col), "secrets")
-    counted = ownership(found)
     spans = found.filter(F.size("found") > 0).select("doc_id", "row", F.explode("found").alias("f"))
+    spans = cut(spans.withColumn("hash", F.col("f.hash")).distinct(), "secret-spans")
+    counted = ownership(found).join(spans.groupBy("hash").agg(F.count("*").alias("n")), "hash")
     judged = (
-        spans.distinct()
-        .join(counted.withColumnRenamed("hash", "f_hash"), F.col("f.hash") == F.col("f_hash"))
+        spread_join(spans, counted, "hash")
         .withColumn(
             "verdict",
             F.when(

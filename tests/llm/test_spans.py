@@ -1,6 +1,7 @@
 """The scans for secrets and personal data against plain readings of their contracts."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -115,3 +116,57 @@ def test_copies_inside_one_owner_are_examples(spark):
     got = {r.doc_id: r for r in secrets.find_secrets(docs).collect()}
     assert all(got[k].n_live == 0 and got[k].spans == "" for k in range(9))
     assert all(got[20 + k].n_live == 1 and got[20 + k].held == "1:1:1" for k in range(9))
+
+
+def plain_shares(rows, window=10, support=2, z=1.0):
+    """(entity, term) -> share, from dictionaries."""
+    contexts, count = {}, {}
+    for _, text in rows:
+        for w in re.split(r"[ \t\n\x0b\x0c\r]+", text or ""):
+            if w := w.strip(pii._EDGE).lower():
+                count[w] = count.get(w, 0) + 1
+        base = pii.base_spans(text or "")
+        for kind, a, b in base:
+            words = [w for w in pii.context(text, a, b, window) if not any(w[1] < y and x < w[2] for _, x, y in base)]
+            words = [w.lower() for w, _, _ in words]
+            contexts.setdefault(pii.entity(kind, text[a:b]), set()).add(" ".join(words))
+    total, out = sum(count.values()), {}
+    for e, held in contexts.items():
+        n = len(held)
+        for w in {w for c in held for w in c.split(" ") if w}:
+            both = sum(w in c.split(" ") for c in held)
+            if both >= support:
+                p = both / n
+                low = (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+                out[e, w] = math.log2(low / min(1, count[w] * 2 * window / total)) / -math.log2(min(0.5, n * 2 * window / total))
+    return out
+
+
+def test_disclosing_terms_equal_plain_ones_wherever_they_stand(spark):
+    """Terms are marked in all of a text that holds the entity, in very long texts too, and nowhere else."""
+    rng = random.Random(3)
+    filler = [f"w{k}" for k in range(300)]
+    text = lambda n: " ".join(rng.choices(filler, range(300, 0, -1), k=n))
+    rows = [(k, text(80)) for k in range(150)]
+    for k in range(40):
+        e, term = rng.choice([("jo@ex.org", "Captain"), ("10.1.2.3", "router,"), ("+1 242 555 3475", "sister")])
+        near = f"{text(4)} {term} {e} {text(6)}"
+        far = f" {text(30)} {term.lower()}" if k % 2 else ""
+        rows.append((1000 + k, f"{text(20)}\n{near}{far} {text(k)}"))
+    rows += [(2000, "Captain " + text(40)), (2001, rows[-1][1]), (2002, text(30_000) + " Captain jo@ex.org now captain"), (2003, None), (2004, "")]
+    shares = plain_shares(rows)
+    assert len({e for (e, _), x in shares.items() if x >= 0.7}) == 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    some = 0
+    for r in pii.protect(docs).collect():
+        own = dict(rows)[r.doc_id] or ""
+        held = {pii.entity(k, own[a:b]) for k, a, b in pii.base_spans(own)}
+        best = {}
+        for (e, w), x in shares.items():
+            if e in held and x >= 0.7:
+                best[w] = max(best.get(w, 0), x)
+        want = pii.term_spans(own, best, 0.9)
+        got = [x.split(":") for x in r.spans.split(",") if x.startswith(("term", "drop"))]
+        assert [(k, int(a), int(b)) for k, a, b in got] == want and r.n_terms == len(want), r.doc_id
+        some += len(want)
+    assert some > 50
