@@ -4,6 +4,10 @@ A row's evidence is its text (a naive Bayes likelihood over byte trigrams, count
 declared language), the language that its markup declares, its host, and the suffix of the host's address.
 What a host usually holds is a prior, counted by grouped aggregation and smoothed towards its suffix, which is
 smoothed towards the whole corpus; so an address with few rows leans on what it shares with others.
+
+Beside the languages there is the class of all others.  Under it a trigram is as likely as halfway between what a
+language gives its own texts and what it gives those of the other languages, on average; so a text that fits no
+language better than foreign texts do is undetermined, however small the differences between the languages.
 """
 
 from __future__ import annotations
@@ -17,11 +21,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import cut
+from tessel.llm.common import cut, spread_join
 
 #: Trigrams are hashed into so many buckets: with the languages, the bound on the model's size.
 BUCKETS = 1 << 15
-LANGUAGES = ("en", "de", "fr", "es")
+#: Languages are the declared ones that enough rows have, so many at most.
+MOST_LANGUAGES, LEAST_ROWS, LEAST_SHARE = 64, 5, 0.001
+#: What is expected of other languages before anything is known.
+OTHER = 0.01
 _CHUNK = 1 << 20
 #: How many overlapping trigrams count as one independent observation.
 _TEMPER = 4.0
@@ -60,7 +67,11 @@ def evidence(
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:
-    """Evidence from web pages (page_id, url, html): the markup's lang attribute, the host and the visible text."""
+    """Evidence from web pages (page_id, url, html): the markup's lang attribute, the host and the visible text.
+
+    Null pages have an empty text, null addresses an empty host; repeated pages give a row each, of which each
+    counts; ids may be null; other columns are not read.
+    """
     text = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w+;", " ")
     return evidence(
         pages.select(F.col("page_id").alias("doc_id"), text.alias("text"), "url", "html"),
@@ -69,7 +80,24 @@ def page_evidence(pages: DataFrame) -> DataFrame:
     )
 
 
-def train(rows: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> np.ndarray:
+def declared_languages(rows: DataFrame) -> tuple[str, ...]:
+    """The languages that `LEAST_ROWS` rows and a share of `LEAST_SHARE` declare, most rows first, then by name."""
+    counts = rows.filter("declared <> '' AND declared <> 'und'").groupBy("declared").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    enough = counts.filter(F.col("n") >= max(LEAST_ROWS, LEAST_SHARE * total))
+    return tuple(r.declared for r in enough.orderBy(F.desc("n"), "declared").limit(MOST_LANGUAGES).collect())
+
+
+def others_level(model: np.ndarray) -> np.ndarray:
+    """For each language: the log-probability of a trigram of another language's text, by `model`'s own counts."""
+    share = np.exp(model)
+    fit = share.T @ model  # [texts of, under]
+    own, n = np.diag(fit), fit.shape[0]
+    foreign = (fit.sum(axis=0) - own) / (n - 1) if n > 1 else np.full(n, -np.log(BUCKETS))
+    return (own + foreign) / 2
+
+
+def train(rows: DataFrame, languages: tuple[str, ...]) -> np.ndarray:
     """Log-probabilities [bucket, language], counted over all rows that declare one of the languages.
 
     Tasks count in arrays of BUCKETS numbers and hand over their sums; the driver gets BUCKETS rows a language
@@ -94,18 +122,23 @@ def train(rows: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> np.ndarray
     return np.log(counts / counts.sum(axis=0))
 
 
-def text_scores(rows: DataFrame, model: np.ndarray, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
-    """doc_id, row, declared, host, suffix, lettered, lik (log-likelihoods less the largest, by language)."""
+def text_scores(rows: DataFrame, model: np.ndarray, languages: tuple[str, ...]) -> DataFrame:
+    """doc_id, row, declared, host, suffix, lettered, lik (log-likelihoods less the largest, by language, and last
+    that of the others)."""
     held = rows.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages, whatever the corpus
+    others = others_level(model)
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = held.value
         for batch in batches:
-            lik = np.zeros((len(batch), len(languages)))
+            lik = np.zeros((len(batch), len(languages) + 1))
             for k, text in enumerate(batch["text"]):
+                count = 0
                 for codes in trigrams(text) if text else ():
-                    lik[k] += table[codes].sum(axis=0)
-            lik = np.round((lik - lik.max(axis=1, initial=-np.inf, keepdims=True)) / _TEMPER, 9)
+                    lik[k, :-1] += table[codes].sum(axis=0)
+                    count += len(codes)
+                lik[k, -1] = count * others[lik[k, :-1].argmax()]
+            lik = np.round((lik - lik[:, :-1].max(axis=1, initial=-np.inf, keepdims=True)) / _TEMPER, 9)
             yield pd.DataFrame(
                 {
                     "doc_id": batch["doc_id"].astype("Int64"),
@@ -124,43 +157,62 @@ def text_scores(rows: DataFrame, model: np.ndarray, languages: tuple[str, ...] =
     )
 
 
-def _counts(best: DataFrame, by: str, languages: tuple[str, ...], prefix: str) -> DataFrame:
-    return best.groupBy(by).agg(
-        *[F.sum((F.col("best") == k).cast("long")).alias(f"{prefix}{k}") for k in range(len(languages))]
+def _with_counts(rows: DataFrame, scored: DataFrame, by: str, prefix: str, n: int) -> DataFrame:
+    """The rows with how many of `scored` with the same value of `by` are decided for each language."""
+    best = F.when(F.col("decided"), F.col("best"))
+    counts = scored.groupBy(by).agg(
+        F.count("*").alias("n"), *[F.count(F.when(best == k, 1)).alias(f"{prefix}{k}") for k in range(n)]
     )
+    return spread_join(rows, counts, by, how="left")
 
 
 def identify(
     rows: DataFrame,
-    languages: tuple[str, ...] = LANGUAGES,
+    languages: tuple[str, ...] | None = None,
     strength: float = 20.0,
     least: float = 0.5,
+    other: float = OTHER,
 ) -> DataFrame:
     """doc_id, language, posterior, text_language, declared, kept, row for each row of `evidence`.
 
-    `strength` is how many rows of its own outweigh what a host takes over from its suffix, and a suffix from
-    the corpus.  A row is kept unless its text has no letter or no language reaches the posterior `least`;
-    those have language `und`.
+    `languages` are those that the rows declare (`declared_languages`) if not given.  `strength` is how many rows
+    of its own outweigh what a host takes over from its suffix, and a suffix from the corpus; `other` is the prior
+    of a language that is none of them.  A row is kept unless its text has no letter, that class is the likeliest,
+    or no language reaches the posterior `least`; those have language `und`, and `posterior` is of the language.
 
-    Null and empty texts have no letter.  A declared language outside `languages`, or none, is a value like any
-    other: it tells as much as the rows that declare it agree.  Ties go to the earlier language.  Repeated rows
-    get a result each; an empty table gives an empty result.
+    Null and empty texts have no letter; very long ones are read whole.  A declared language outside `languages`, or
+    none, is a value like any other: it tells as much as the rows that declare it agree.  Ties go to the earlier
+    language.  Repeated rows get a result each; an empty table gives an empty result, and where no language is
+    declared often enough all rows are `und`.
     """
+    languages = declared_languages(rows) if languages is None else languages
+    if not languages:
+        return rows.select(
+            "doc_id",
+            F.lit("und").alias("language"),
+            F.lit(0.0).alias("posterior"),
+            F.lit("und").alias("text_language"),
+            "declared",
+            F.lit(False).alias("kept"),
+            F.xxhash64("text").alias("row"),
+        )
     n = range(len(languages))
-    scored = cut(text_scores(rows, train(rows, languages), languages), "language")
+    scored = text_scores(rows, train(rows, languages), languages)
     # Evidence of hosts and declarations is counted over rows whose own text decides, in whole numbers.
-    decided = scored.filter(F.col("lettered") & F.expr("size(filter(lik, x -> x > -2.0)) = 1")).withColumn(
-        "best", F.expr("array_position(lik, array_max(lik)) - 1")
+    best = "array_position(slice(lik, 1, {0}), array_max(slice(lik, 1, {0}))) - 1".format(len(languages))
+    scored = scored.withColumn("best", F.expr(best).cast("int"))
+    scored = cut(
+        scored.withColumn("decided", F.col("lettered") & F.expr("size(filter(lik, x -> x > -2.0)) = 1")), "language"
     )
-    total = decided.agg(
+    total = scored.filter("decided").agg(
         *[F.sum((F.col("best") == k).cast("long")).alias(f"t{k}") for k in n],
         F.count_distinct("declared").alias("kinds"),
     ).first()
     overall = [((total[f"t{k}"] or 0) + 1.0) for k in n]
     prior = [F.lit(x / sum(overall)) for x in overall]
-    declared = _counts(decided, "declared", languages, "d")
-    suffixes, hosts = _counts(decided, "suffix", languages, "s"), _counts(decided, "host", languages, "h")
-    joined = scored.join(declared, "declared", "left").join(suffixes, "suffix", "left").join(hosts, "host", "left")
+    joined = scored
+    for by, prefix in (("declared", "d"), ("suffix", "s"), ("host", "h")):
+        joined = _with_counts(joined, scored, by, prefix, len(languages))
     joined = joined.na.fill(0, [f"{level}{k}" for level in "dsh" for k in n])
 
     def smoothed(level: str, above: list[Column]) -> list[Column]:
@@ -173,19 +225,20 @@ def identify(
     logs = [
         F.get("lik", F.lit(k)) + F.log((F.col(f"d{k}") + 1.0) / (overall[k] + kinds)) + F.log(f"ph{k}") for k in n
     ]
+    # Of other languages it is unknown what they declare and which hosts they have.
+    logs.append(F.get("lik", F.lit(len(languages))) + F.log(F.lit(other / kinds)))
     joined = joined.withColumn("logs", F.array(*logs))
-    joined = joined.withColumn("at", F.expr("array_position(logs, array_max(logs)) - 1").cast("int"))
-    share = F.expr("1 / aggregate(logs, 0D, (a, x) -> a + exp(x - array_max(logs)))")
+    joined = joined.withColumn("at", F.expr(best.replace("lik", "logs")).cast("int"))
+    share = F.expr("exp(logs[at] - array_max(logs)) / aggregate(logs, 0D, (a, x) -> a + exp(x - array_max(logs)))")
     names = F.array(*map(F.lit, languages))
     joined = joined.withColumn("posterior", F.round(share, 6))
-    kept = F.col("lettered") & (F.col("posterior") >= least)
+    known = F.get("logs", "at") == F.array_max("logs")
+    kept = F.col("lettered") & known & (F.col("posterior") >= least)
     return joined.select(
         "doc_id",
         F.when(kept, F.get(names, "at")).otherwise("und").alias("language"),
         "posterior",
-        F.when(F.col("lettered"), F.get(names, F.expr("array_position(lik, array_max(lik)) - 1").cast("int")))
-        .otherwise("und")
-        .alias("text_language"),
+        F.when(F.col("lettered"), F.get(names, "best")).otherwise("und").alias("text_language"),
         "declared",
         kept.alias("kept"),
         "row",

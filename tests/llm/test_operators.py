@@ -528,6 +528,68 @@ def test_language_evidence(spark, sf_dir):
     assert got[20_000].language == "fr"
 
 
+FINNISH = """Kaikki ihmiset syntyvat vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu jarki ja
+omatunto, ja heidan on toimittava toisiaan kohtaan veljeyden hengessa. Jokaisella on oikeus elamaan, vapauteen ja
+henkilokohtaiseen turvallisuuteen, eika ketaan saa pitaa orjana tai orjuutettuna missaan muodossa."""
+
+
+def test_other_languages_are_undetermined(spark, sf_dir):
+    """Texts of languages that nobody declares, and letters at random, whatever they declare and where they stand."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
+    rng = random.Random(13)
+    noise = " ".join("".join(rng.choices(string.ascii_lowercase, k=rng.randint(3, 9))) for _ in range(60))
+    texts = [FINNISH, "Все люди рождаются свободными и равными в своем достоинстве и правах. " * 3, "人人生而自由在尊严和权利上一律平等" * 8, noise]
+    rows = [(50_000 + k, x, ["en", "de", None, "fi"][k], "src0") for k, x in enumerate(texts)]
+    both = docs.union(spark.createDataFrame(rows, docs.schema))
+    got = {r.doc_id: r for r in langid.identify(langid.evidence(both, F.col("lang"), F.col("source"))).collect()}
+    assert all(got[50_000 + k].language == "und" and not got[50_000 + k].kept for k in range(4))
+    assert sum(r.kept for i, r in got.items() if i < 50_000) == len(got) - 4
+    # The languages are those of the rows: enough texts of a fifth are a language too.
+    more = spark.createDataFrame([(60_000 + k, " ".join(rng.sample(FINNISH.split(), 30)), "fi", "src1") for k in range(30)], docs.schema)
+    evidence = langid.evidence(both.union(more), F.col("lang"), F.col("source"))
+    assert set(langid.declared_languages(evidence)) == {"en", "de", "fr", "es", "fi"}
+    got = {r.doc_id: r.language for r in langid.identify(evidence).collect()}
+    assert got[50_000] == "fi" and all(got[60_000 + k] == "fi" for k in range(30))
+
+
+def test_posteriors_equal_plain_fusion(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("source", F.concat(F.lit("h."), F.col("source"), F.lit(".x")))
+    rows = langid.evidence(docs, F.col("lang"), F.col("source"))
+    languages = langid.declared_languages(rows)
+    model, n = langid.train(rows, languages), len(languages)
+    data = rows.collect()
+    counts = np.full((langid.BUCKETS, n), 0.5)
+    for r in data:
+        for codes in langid.trigrams(r.text):
+            np.add.at(counts[:, languages.index(r.declared)], codes, 1)
+    np.testing.assert_allclose(model, np.log(counts / counts.sum(axis=0)))
+    others, liks, best, decided = langid.others_level(model), [], [], []
+    for r in data:
+        codes = np.concatenate(list(langid.trigrams(r.text)))
+        lik = model[codes].sum(axis=0)
+        best.append(int(lik.argmax()))
+        lik = (np.append(lik, len(codes) * others[best[-1]]) - lik.max()) / 4
+        liks.append(lik)
+        decided.append(any(map(str.isalpha, r.text)) and (lik > -2).sum() == 1)
+    tally = {c: defaultdict(lambda: np.zeros(n)) for c in ("declared", "suffix", "host")}
+    overall, kinds = np.ones(n), len({r.declared for r, d in zip(data, decided) if d}) + 1
+    for r, b, d in zip(data, best, decided):
+        if d:
+            overall[b] += 1
+            for c in tally:
+                tally[c][r[c]][b] += 1
+    got = {r.doc_id: r for r in langid.identify(rows).collect()}
+    for r, lik in zip(data, liks):
+        suffix, host = tally["suffix"][r.suffix], tally["host"][r.host]
+        at_suffix = (suffix + 20 * overall / overall.sum()) / (suffix.sum() + 20)
+        at_host = (host + 20 * at_suffix) / (host.sum() + 20)
+        logs = lik[:n] + np.log((tally["declared"][r.declared] + 1) / (overall + kinds)) + np.log(at_host)
+        logs = np.append(logs, lik[n] + np.log(0.01 / kinds))
+        share = np.exp(logs - logs.max()) / np.exp(logs - logs.max()).sum()
+        assert math.isclose(got[r.doc_id].posterior, share[:n].max(), abs_tol=2e-6)
+        assert got[r.doc_id].kept == (share[:n].max() >= max(share[n], 0.5))
+
+
 def test_pages(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     got = langid.page_evidence(pages)
@@ -557,3 +619,15 @@ def test_perplexity_hears_word_order(spark):
     assert all(got[k].kept for k in range(60))
     assert got[100].log_perplexity > 1.5 * got[0].log_perplexity and not got[100].kept
     assert not any(got[200 + k].kept for k in range(5))
+
+
+def test_odd_pages(spark):
+    rows = [(1, None, None), (2, "http://a.fr/x", None), (None, None, "<html lang=fr><p>le chat</p>"), (3, "x", ""), (3, "x", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'q' AS text", "1 AS host", "2 AS doc_id")
+    got = langid.page_evidence(pages).collect()
+    assert Counter(r.doc_id for r in got) == {1: 1, 2: 1, None: 1, 3: 2}
+    assert {r.doc_id: (r.text.strip(), r.declared, r.host) for r in got} == {
+        1: ("", "", ""), 2: ("", "", "a.fr"), None: ("le chat", "fr", ""), 3: ("", "", "")
+    }
+    assert langid.identify(langid.page_evidence(pages)).count() == 5
+    assert langid.identify(langid.page_evidence(pages.limit(0))).count() == 0
