@@ -5,9 +5,9 @@ declared language), the language that its markup declares, its host, and the suf
 What a host usually holds is a prior, counted by grouped aggregation and smoothed towards its suffix, which is
 smoothed towards the whole corpus; so an address with few rows leans on what it shares with others.
 
-Beside the languages there is the class of all others.  Under it a trigram is as likely as halfway between what a
-language gives its own texts and what it gives those of the other languages, on average; so a text that fits no
-language better than foreign texts do is undetermined, however small the differences between the languages.
+Beside the languages there is the class of all others.  Under it a trigram is as likely as halfway
+from what a language gives its own texts to what it gives those of the other languages, on average; so a text
+that fits no language better than foreign texts do is undetermined, however the languages differ.
 """
 
 from __future__ import annotations
@@ -29,18 +29,23 @@ BUCKETS = 1 << 15
 MOST_LANGUAGES, LEAST_ROWS, LEAST_SHARE = 64, 5, 0.001
 #: What is expected of other languages before anything is known.
 OTHER = 0.01
+#: How far from a language's own texts to foreign ones those of unknown languages begin.
+_FOREIGN = 0.5
 _CHUNK = 1 << 20
 #: How many overlapping trigrams count as one independent observation.
 _TEMPER = 4.0
 
 
 def trigrams(text: str) -> Iterator[np.ndarray]:
-    """Buckets of the byte trigrams of a text (A-Z folded), in chunks; a space stands at either end."""
+    """Buckets of the byte trigrams of a text (A-Z folded) round a letter, in chunks; a space stands at either end.
+
+    Digits and marks are much alike in all languages, and would be most of what a list of numbers says."""
     data = np.frombuffer(b" " + text.encode().lower() + b" ", np.uint8)
     for k in range(0, len(data) - 2, _CHUNK):
         b = data[k : k + _CHUNK + 2].astype(np.uint32)
         code = (b[:-2] * np.uint32(0x9E3779B1)) ^ (b[1:-1] * np.uint32(0x85EBCA77)) ^ (b[2:] * np.uint32(0xC2B2AE3D))
-        yield (code * np.uint32(0x27D4EB2F)) >> np.uint32(17)
+        letter = (b[1:-1] >= 128) | (b[1:-1] - 97 < 26)
+        yield ((code * np.uint32(0x27D4EB2F)) >> np.uint32(17))[letter]
 
 
 def _has_letter(text: str) -> bool:
@@ -94,7 +99,7 @@ def others_level(model: np.ndarray) -> np.ndarray:
     fit = share.T @ model  # [texts of, under]
     own, n = np.diag(fit), fit.shape[0]
     foreign = (fit.sum(axis=0) - own) / (n - 1) if n > 1 else np.full(n, -np.log(BUCKETS))
-    return (own + foreign) / 2
+    return own + _FOREIGN * (foreign - own)
 
 
 def train(rows: DataFrame, languages: tuple[str, ...]) -> np.ndarray:
