@@ -7,6 +7,7 @@ from tessel.operators.array import (
     from_numpy,
     from_relation,
     full,
+    make_index_lambda,
     ones,
     ones_like,
     zeros,
@@ -48,7 +49,7 @@ from tessel.operators.elementwise import (
 )
 from tessel.operators.exchange import Receive, RouteError, Send, exchange, number_tags, ring, verified_routes
 from tessel.operators.indexing import NON_NEGATIVE, checked_gather
-from tessel.operators.linalg import dot, einsum, gram, matmul, vdot
+from tessel.operators.linalg import distribute_einsum, dot, einsum, gram, matmul, vdot
 from tessel.operators.reductions import all, amax, amin, any, prod, sum
 from tessel.operators.reshaping import (
     broadcast_to,

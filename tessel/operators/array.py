@@ -31,6 +31,14 @@ BROADCAST_BYTES = 8 << 20
 Scalar = bool | int | float | complex | np.generic
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; on one machine, where the session names none, a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("a cluster's session has to name a shared folder in spark.checkpoint.dir")
+    return named or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
 def is_scalar(x) -> bool:
     return isinstance(x, (bool, int, float, complex, np.generic))
 
@@ -42,11 +50,22 @@ def coord_names(n: int) -> list[str]:
 class Array:
     __array_priority__ = 100
 
-    def __init__(self, df: DataFrame, shape, dtype, value: Column | None = None, tags=frozenset(), axis_tags=None):
+    def __init__(
+        self,
+        df: DataFrame,
+        shape,
+        dtype,
+        value: Column | None = None,
+        tags=frozenset(),
+        axis_tags=None,
+        reduction_tags: dict[str, frozenset] | None = None,
+    ):
         self.df, self.shape, self.dtype = df, normal_shape(shape), normal(dtype)
         self.value = F.col("v") if value is None else value
         self.tags = frozenset(tags)
         self.axis_tags: tuple[frozenset, ...] = tuple(axis_tags or (frozenset(),) * len(self.shape))
+        #: Tags of the letters that an einsum has summed to give this array.
+        self.reduction_tags = dict(reduction_tags or {})
 
     # -- what it is ---------------------------------------------------------------------------------------
 
@@ -80,7 +99,8 @@ class Array:
 
     def _copy(self, **new) -> Array:
         old = {"df": self.df, "shape": self.shape, "dtype": self.dtype, "value": self.value}
-        return Array(**old | {"tags": self.tags, "axis_tags": self.axis_tags} | new)
+        kept = {"tags": self.tags, "axis_tags": self.axis_tags, "reduction_tags": self.reduction_tags}
+        return Array(**old | kept | new)
 
     def tagged(self, *tags: Hashable) -> Array:
         return self._copy(tags=self.tags | set(tags))
@@ -93,15 +113,24 @@ class Array:
         axes[axis] = axes[axis] | set(tags)
         return self._copy(axis_tags=axes)
 
+    def with_tagged_reduction(self, letter: str, *tags: Hashable) -> Array:
+        """Tags for a letter that the einsum of this array sums."""
+        if letter not in self.reduction_tags:
+            raise ValueError(f"{letter!r} is not summed")
+        return self._copy(reduction_tags=self.reduction_tags | {letter: self.reduction_tags[letter] | set(tags)})
+
     # -- as a relation ------------------------------------------------------------------------------------
 
     def relation(self) -> DataFrame:
-        """(i0, ..., v); an axis' tags are in the metadata of its column."""
+        """(i0, ..., v); tags of axes are in the metadata of their columns, those of the array and its sums in v's."""
         names = [
             F.col(c).alias(c, metadata={"tags": sorted(map(str, t))}) if t else F.col(c)
             for c, t in zip(coord_names(self.ndim), self.axis_tags)
         ]
-        return self.df.select(*names, self.value.alias("v"))
+        held = {x: sorted(map(str, t)) for x, t in self.reduction_tags.items() if t} | {"": sorted(map(str, self.tags))}
+        said = {"reductions": held, "tags": held.pop("")}
+        said = {k: v for k, v in said.items() if v}
+        return self.df.select(*names, self.value.alias("v", metadata=said) if said else self.value.alias("v"))
 
     def plain(self) -> Array:
         """The same over its own relation, so that its value is a column."""
@@ -124,10 +153,7 @@ class Array:
         """
         context = self.spark.sparkContext
         if context.getCheckpointDir() is None:
-            named = self.spark.conf.get("spark.checkpoint.dir", None)
-            if not named and not context.master.startswith("local"):
-                raise RuntimeError("a cluster's session has to name a shared folder in spark.checkpoint.dir")
-            context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+            context.setCheckpointDir(shared_folder(self.spark))
         return self._copy(df=self.relation().checkpoint(), value=F.col("v"))
 
     def small(self) -> bool:
@@ -341,6 +367,43 @@ def ones_like(a: Array | Scalar, dtype=None):
     return a._copy(dtype=dtype, value=literal(1, dtype))
 
 
+class Accessor:
+    """A named array in an index lambda: called with coordinates, it is the array's value there."""
+
+    def __init__(self, a: Array, calls: list):
+        self.a, self.calls = a, calls
+
+    def __call__(self, *coords: Column | int) -> Column:
+        if len(coords) != self.a.ndim:
+            raise ValueError(f"{len(coords)} coordinates for {self.a.ndim} axes")
+        name = f"x{len(self.calls)}"
+        self.calls.append((self.a, [c if isinstance(c, Column) else F.lit(c) for c in coords], name))
+        return F.col(name)
+
+
+def make_index_lambda(spark: SparkSession, f: Callable[..., Column], shape, dtype, **arrays: Array) -> Array:
+    """The array whose cell at coordinates i0, i1, ... is f(i0, i1, ..., **arrays), an expression of Columns.
+
+    In f the arrays are called with expressions of the coordinates: f = lambda i, x: x(i) + 2 * x(i - 1).  Each such
+    access is an equality join of the coordinates with the array; outside of an array's box it is null, so f has
+    to give another value there (F.when, F.coalesce).  Arrays in the result are dense: a cell that is null raises.
+    """
+    shape, dtype = normal_shape(shape), normal(dtype)
+    calls: list = []
+    value = f(*[F.col(f"i{k}") for k in range(len(shape))], **{k: Accessor(a, calls) for k, a in arrays.items()})
+    names, df = coord_names(len(shape)), grid(spark, shape)
+    for a, coords, name in calls:
+        cells = a.df.select(*[F.col(f"i{k}").alias(f"a{k}") for k in range(a.ndim)], a.value.alias(name))
+        keyed = df.select("*", *[c.cast("bigint").alias(f"k{k}") for k, c in enumerate(coords)])
+        on = [F.col(f"k{k}") == F.col(f"a{k}") for k in range(a.ndim)]
+        side = F.broadcast(cells) if a.small() else cells
+        df = keyed.join(side, on, "left") if on else keyed.crossJoin(side)  # an array without axes: one row
+        df = df.drop(*[f"{x}{k}" for k in range(a.ndim) for x in "ka"])
+    none = F.raise_error(F.lit("an index lambda has no value at a cell")).cast(spark_type(dtype))
+    value = value.cast(spark_type(dtype)) if dtype.kind != "c" else value
+    return Array(df, shape, dtype, F.coalesce(value, none))
+
+
 def eye(spark: SparkSession, n: int, m: int | None = None, k: int = 0, dtype=float) -> Array:
     m, dtype = n if m is None else m, normal(dtype)
     if n < 0 or m < 0:

@@ -66,13 +66,13 @@ def verified_routes(spark: SparkSession, sends: Sequence[Send], receives: Sequen
 def exchange(a: Array, routes: DataFrame) -> dict[int, Array]:
     """By tag: an array that holds, at a receiver's rank, what its sender had; ranks that get nothing hold zeros.
 
-    One equality join with the small route table moves all messages.
+    One equality join with the route table moves all messages.
     """
     from tessel.operators.sparse import _on_grid
 
     names = [f"i{k}" for k in range(1, a.ndim)]
     cells = a.df.select("i0", *names, a.value.alias("v"))
-    moved = cells.join(F.broadcast(routes), F.col("i0") == F.col("source"))  # at most ranks x ranks rows a tag
+    moved = cells.join(routes, F.col("i0") == F.col("source"))  # broadcast by Spark where the table's size allows
     tags = [r.tag for r in routes.select("tag").distinct().orderBy("tag").collect()]
     out = {}
     for tag in tags:

@@ -71,15 +71,18 @@ def _basic(a: Array, index: list) -> Array:
 
 
 def _gather(a: Array, index: list) -> Array:
-    """Integers beside arrays count as index arrays.  The block of index axes stands where the indexed axes were
-    if they are next to each other, and in front else.  Entries count from the end if negative."""
+    """Integers beside arrays count as index arrays for the place of the result's axes, and are filters.  The block
+    of index axes stands where the indexed axes were if they are next to each other, and in front else.  Entries
+    count from the end if negative."""
     advanced = [k for k, x in enumerate(index) if not isinstance(x, slice)]
     cut = _basic(a, [x if isinstance(x, slice) else slice(None) for x in index])
-    arrays = []
     for k in advanced:
+        if is_scalar(index[k]):
+            cut = cut._copy(df=cut.df.filter(F.col(f"i{k}") == _whole(index[k], a.shape[k], k)))
+    joined = [k for k in advanced if not is_scalar(index[k])]
+    arrays = []
+    for k in joined:
         x = index[k]
-        if is_scalar(x):
-            x = from_numpy(a.spark, np.int64(_whole(x, a.shape[k], k)))
         if x.dtype.kind not in "iu":
             raise IndexError(f"indices must be integers, not {x.dtype}")
         if a.shape[k] == 0 and x.size:
@@ -88,12 +91,12 @@ def _gather(a: Array, index: list) -> Array:
     frame = align(arrays)
     m = len(frame.shape)
     keys = []
-    for k, x, v in zip(advanced, arrays, frame.values):
+    for k, x, v in zip(joined, arrays, frame.values):
         n, v = max(1, a.shape[k]), v.cast("bigint")
         keys.append((v if NON_NEGATIVE in x.tags else (v % n + n) % n).alias(f"k{k}"))
     places = frame.df.select(*[F.col(f"i{d}").alias(f"b{d}") for d in range(m)], *keys)
     cells = cut.df.select(*[F.col(f"i{k}").alias(f"a{k}") for k in range(a.ndim)], cut.value.alias("v"))
-    on = [F.col(f"k{k}") == F.col(f"a{k}") for k in advanced]
+    on = [F.col(f"k{k}") == F.col(f"a{k}") for k in joined]
     size = int(np.prod(frame.shape))
     if size * 8 * (m + len(on)) <= 8 << 20:
         places = F.broadcast(places)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import Counter
+from collections.abc import Hashable, Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -89,12 +91,18 @@ def _term(a: Array, letters: str, lengths: dict[str, int], dtype) -> _Term:
     return _Term(df.select(*names, a.value.alias("v")), "".join(first), lengths, dtype.kind)
 
 
-def einsum(spec: str, *operands: Array) -> Array:
+def einsum(spec: str, *operands: Array, reductions: Mapping[str, Iterable[Hashable]] | None = None) -> Array:
     """Explicit einsum.  Operands are contracted two at a time, those first whose result is smallest by their
     shapes, and a letter that nothing else needs is summed before the next join.  The two operands of one row's
-    cells never meet more often than the result needs them."""
+    cells never meet more often than the result needs them.
+
+    `reductions` has tags for letters that are summed; they say something about the sum and change no result.  The
+    result keeps them (`reduction_tags`), and in its value's metadata."""
     operands = list(operands)
     parts, out = _parse(spec, operands)
+    if unknown := [x for x in reductions or () if x in out or not any(x in p for p in parts)]:
+        raise ValueError(f"{unknown} are not summed")
+    tags = {x: frozenset((reductions or {}).get(x, ())) for p in parts for x in p if x not in out}
     lengths: dict[str, int] = {}
     for p, a in zip(parts, operands):
         for x, n in zip(p, a.shape):
@@ -106,7 +114,7 @@ def einsum(spec: str, *operands: Array) -> Array:
     if 0 in lengths.values():
         from tessel.operators.array import full
 
-        return full(operands[0].spark, shape, 0, dtype)
+        return full(operands[0].spark, shape, 0, dtype)._copy(reduction_tags=tags)
     terms = [_term(a, p, lengths, dtype) for p, a in zip(parts, operands)]
 
     def finish(rest: list[_Term]) -> list[_Term]:
@@ -132,7 +140,7 @@ def einsum(spec: str, *operands: Array) -> Array:
             df = df.withColumn(f"c_{x}", F.lit(0).cast("bigint"))
     names = [F.col(f"c_{x}").alias(f"i{k}") for k, x in enumerate(out)]
     value = F.col("v") if dtype.kind in "cb" else F.col("v").cast(to)
-    return Array(df.select(*names, value.alias("v")), shape, dtype)
+    return Array(df.select(*names, value.alias("v")), shape, dtype, reduction_tags=tags)
 
 
 def gram(rows: DataFrame, column: str, width: int, dtype="float64", scale=None) -> Array:
@@ -179,4 +187,18 @@ def vdot(a: Array, b: Array) -> Array:
     return dot(ravel(conj(a)), ravel(b))
 
 
-__all__ = ["einsum", "gram", "matmul", "dot", "vdot"]
+def distribute_einsum(spec: str, sums: Sequence[Sequence[tuple[Array, complex]]]) -> Array:
+    """An einsum whose operands are sums of scaled arrays, by the distributive law: each operand is a list of
+    (array, factor), and one einsum runs for each choice of terms.  It pays where the terms have fewer cells
+    together than their sum (a row and a column), for then each product meets fewer."""
+    total = None
+    for choice in itertools.product(*sums):
+        factor = math.prod(c for _, c in choice)
+        part = einsum(spec, *[x for x, _ in choice]) * factor
+        total = part if total is None else total + part
+    if total is None:
+        raise ValueError("no terms")
+    return total
+
+
+__all__ = ["distribute_einsum", "einsum", "gram", "matmul", "dot", "vdot"]

@@ -56,20 +56,31 @@ def from_coordinates(df: DataFrame, shape, dtype) -> CSRMatrix:
 
 
 def to_csr(a: CSRMatrix) -> tuple[DataFrame, DataFrame]:
-    """(at, i1, v) and (row, start): entries in row order, counted row by row and never in one task."""
+    """(at, i1, v) and (row, start): entries in row order, counted row by row and never in one task.  Both are kept
+    once computed, as the three arrays of the format read them several times."""
     counts = grid(a.df.sparkSession, (a.shape[0],)).join(a.df.groupBy("i0").agg(F.count("*").alias("n")), "i0", "left")
-    block = F.call_function("div", F.col("i0"), F.lit(4096).cast("bigint"))
-    counts = counts.select("i0", F.coalesce("n", F.lit(0)).alias("n"), block.alias("block"))
-    blocks = counts.groupBy("block").agg(F.sum("n").alias("n"))
-    # Prefix sums in two steps: over the blocks of 4096 rows, and within each of them.
-    ahead = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = blocks.select("block", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
-    within = Window.partitionBy("block").orderBy("i0").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("own", F.coalesce(F.sum("n").over(within), F.lit(0))).join(bases, "block")
-    starts = starts.select(F.col("i0").alias("row"), (F.col("base") + F.col("own")).alias("start"))
+    counts = counts.select("i0", F.coalesce("n", F.lit(0)).alias("n"))
+    starts = _prefix_sums(counts, a.shape[0]).select(F.col("i0").alias("row"), "start").persist()
     rank = F.row_number().over(Window.partitionBy("i0").orderBy("i1")) - 1
     entries = a.df.withColumn("k", rank).join(starts, F.col("i0") == F.col("row"))
-    return entries.select((F.col("start") + F.col("k")).alias("at"), "i1", "v"), starts
+    return entries.select((F.col("start") + F.col("k")).alias("at"), "i1", "v").persist(), starts
+
+
+#: Rows whose counts one task adds up in order.
+_RUN = 4096
+
+
+def _prefix_sums(counts: DataFrame, length: int) -> DataFrame:
+    """(i0, start) of (i0, n) over 0 .. length - 1: within runs of `_RUN` rows, over their sums, and so on."""
+    if length <= _RUN:
+        ahead = Window.orderBy("i0").rowsBetween(Window.unboundedPreceding, -1)
+        return counts.select("i0", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("start"))
+    counts = counts.withColumn("run", F.call_function("div", F.col("i0"), F.lit(_RUN).cast("bigint")))
+    runs = counts.groupBy(F.col("run").alias("i0")).agg(F.sum("n").alias("n"))
+    bases = _prefix_sums(runs, -(-length // _RUN)).select(F.col("i0").alias("run"), F.col("start").alias("base"))
+    within = Window.partitionBy("run").orderBy("i0").rowsBetween(Window.unboundedPreceding, -1)
+    own = counts.withColumn("own", F.coalesce(F.sum("n").over(within), F.lit(0)))
+    return own.join(bases, "run").select("i0", (F.col("base") + F.col("own")).alias("start"))
 
 
 def _on_grid(df: DataFrame, shape, dtype) -> Array:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +11,10 @@ from pyspark.sql import functions as F
 
 import tessel.operators as t
 from tessel.operators import Array
+from tessel.operators.array import shared_folder
 from tessel.plans.program import Placeholder, Program, SizeParam, distribute, named
 from tessel.sources.tables import aggregated, matrix, read, sparse, vector
+from tessel.streaming.arrays import drained, windowed_sums
 
 YEARS, HOURS, WIDTH = 7, 24, 64
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,6 +111,8 @@ def _with(sql: str) -> str:
 
     named_ = [n for n in _CTES if re.search(rf"\b{n}\b", sql)]
     order = [n for n in _CTES if n in {*named_, *(m for n in named_ for m in _NEEDS.get(n, []))}]
+    if not order:
+        return sql
     return "WITH " + ",\n".join(f"{n} AS ({_CTES[n]})" for n in order) + "\n" + sql
 
 
@@ -140,19 +146,19 @@ def oracle_sql() -> dict[str, str]:
 # -- sources and generators ---------------------------------------------------------------------------------
 
 
-@query("full", "SELECT i0, i1, 7::BIGINT AS v FROM Q")
+@query("full", "SELECT i0, i1, 7 + v AS v FROM Q")
 def _(s):
-    return t.full(s.spark, s.Q.shape, 7, "int64")
+    return t.full(s.spark, s.Q.shape, 7, "int64") + s.Q
 
 
-@query("zeros_ones", "SELECT i0, v * 0.0 + 1 AS v FROM bal", 6)
+@query("zeros_ones", "SELECT i0, v + 1 AS v FROM bal", 6)
 def _(s):
-    return t.zeros(s.spark, s.bal.shape) + t.ones(s.spark, s.bal.shape)
+    return t.zeros(s.spark, s.bal.shape) + t.ones(s.spark, s.bal.shape) + s.bal
 
 
-@query("zeros_like", "SELECT i0, i1, 1::BIGINT AS v FROM Q")
+@query("zeros_like", "SELECT i0, i1, 3 + v AS v FROM Q")
 def _(s):
-    return t.zeros_like(s.Q) + t.ones_like(s.Q)
+    return t.zeros_like(s.Q) + t.ones_like(s.Q) * 3 + s.Q
 
 
 @query("eye", """SELECT a.i0, a.i1, coalesce(b.v, 0) AS v FROM Q a LEFT JOIN Q b ON b.i0 = a.i0 AND b.i1 = a.i1 - 2""")
@@ -182,6 +188,18 @@ query("truediv", "SELECT c.i0, CASE WHEN n.v = 0 THEN 0.0 ELSE round(c.v / n.v,
 )
 query("floordiv", "SELECT i0, i1, floor((v - 100) / 7.0)::BIGINT AS v FROM Q")(lambda s: (s.Q - 100) // 7)
 query("mod", "SELECT i0, i1, (((v - 100) % 7) + 7) % 7 AS v FROM Q")(lambda s: (s.Q - 100) % 7)
+_REST = "(SELECT i0, v, v % 7.3::DOUBLE AS r FROM bal)"
+query("mod_float", f"SELECT i0, CASE WHEN r < 0 THEN r + 7.3 ELSE r END AS v FROM {_REST}", 6)(lambda s: s.bal % 7.3)
+query("floordiv_float", f"SELECT i0, round((v - r) / 7.3 - (r < 0)::INT) AS v FROM {_REST}", 6)(lambda s: s.bal // 7.3)
+query("pow_exact", "SELECT i0, (v + 1000003) * (v + 1000003) * (v + 1000003) AS v FROM size")(lambda s: (s.size + 1000003) ** 3)
+query("unsigned", "SELECT i0, i1, ((v % 256) * 7 % 256)::SMALLINT AS v FROM Q")(lambda s: s.Q.astype("uint8") * 7)
+query("unary_plus", "SELECT i0, i1, v FROM Q")(lambda s: +s.Q)
+query("tags", "SELECT i0, i1, v + 1 AS v FROM Q")(lambda s: (s.Q.with_tagged_axis(0, "supplier") + 1).tagged("counts"))
+query("imag", "SELECT i0, 3.0::DOUBLE * v AS v FROM size", 6)(lambda s: ((s.size.astype("complex128") + 3j) * s.size).imag)
+query("index_lambda", """SELECT a.i0, a.i1, a.v + 2 * coalesce(b.v, 0) AS v FROM Q a
+      LEFT JOIN Q b ON b.i0 = a.i0 AND b.i1 = a.i1 - 1""")(
+    lambda s: t.make_index_lambda(s.spark, lambda i, j, q: q(i, j) + 2 * F.coalesce(q(i, j - 1), F.lit(0)), s.Q.shape, "int64", q=s.Q)
+)
 query("pow", "SELECT i0, v * v AS v FROM size")(lambda s: s.size**2)
 query("bit_and", "SELECT i0, v & 6 AS v FROM size")(lambda s: s.size & 6)
 query("bit_or", "SELECT i0, v | 6 AS v FROM size")(lambda s: s.size | 6)
@@ -238,7 +256,7 @@ query("amax_axis1", "SELECT i0, max(v) AS v FROM Eq GROUP BY i0")(lambda s: t.am
 query("amin_axis0", "SELECT i1 AS i0, min(v) AS v FROM Eq GROUP BY i1")(lambda s: t.amin(s.Eq, 0))
 query("all_axis1", "SELECT i0, bool_and(v > 5) AS v FROM Q GROUP BY i0")(lambda s: t.greater(s.Q, 5).all(1))
 query("any_axis0", "SELECT i1 AS i0, bool_or(v = 0) AS v FROM H GROUP BY i1")(lambda s: t.equal(s.H, 0).any(0))
-query("empty_axis", "SELECT i0, 0::BIGINT AS v FROM Q WHERE i1 = 0")(lambda s: t.sum(s.Q[:, 7:], 1))
+query("empty_axis", "SELECT i0, sum(v)::BIGINT AS v FROM Q GROUP BY i0")(lambda s: t.sum(s.Q[:, 7:], 1) + t.sum(s.Q, 1))
 
 # -- indexing and shapes ------------------------------------------------------------------------------------
 
@@ -288,8 +306,18 @@ def _(s):
 _DOT = "sum(a.v * b.v)::BIGINT AS v"
 query("einsum_gram", f"SELECT a.i1 AS i0, b.i1, {_DOT} FROM Eq a JOIN Eq b ON a.i0 = b.i0 GROUP BY 1, 2")(lambda s: t.einsum("ri,rj->ij", s.Eq, s.Eq))
 query("einsum_float", "SELECT a.i1 AS i0, b.i1, sum(a.v * b.v) AS v FROM E a JOIN E b ON a.i0 = b.i0 GROUP BY 1, 2", 6)(
+    lambda s: t.einsum("ri,rj->ij", s.E, s.E)
+)
+query("gram_float", "SELECT a.i1 AS i0, b.i1, sum(a.v * b.v) AS v FROM E a JOIN E b ON a.i0 = b.i0 GROUP BY 1, 2", 6)(
     lambda s: t.gram(s.read("embeddings"), "embedding", WIDTH)
 )
+query("reduction_tags", f"SELECT a.i0, {_DOT} FROM Q a JOIN Q b USING (i0, i1) GROUP BY 1")(
+    lambda s: t.einsum("ij,ij->i", s.Q, s.Q, reductions={"j": ["years"]}).with_tagged_reduction("j", "summed")
+)
+query("einsum_distributive", """SELECT a.i0, sum((a.v + r.v) * b.v)::BIGINT AS v FROM Q a JOIN Q b USING (i0, i1)
+      JOIN (SELECT i0, max(v) AS v FROM Q GROUP BY i0) r USING (i0) GROUP BY 1""")(
+    lambda s: t.distribute_einsum("ij,ij->i", [[(s.Q, 1), (t.expand_dims(t.amax(s.Q, 1), 1), 1)], [(s.Q, 1)]])
+)
 query("einsum_frobenius", f"SELECT {_DOT} FROM Eq a JOIN Eq b ON a.i0 = b.i0 AND a.i1 = b.i1")(lambda s: t.einsum("ij,ij->", s.Eq, s.Eq))
 query("einsum_total", "SELECT sum(v)::BIGINT AS v FROM Eq")(lambda s: t.einsum("ij->", s.Eq))
 _GRAM = "(SELECT a.i1 AS i, b.i1 AS j, sum(a.v * b.v)::BIGINT AS v FROM Eq a JOIN Eq b ON a.i0 = b.i0 GROUP BY 1, 2)"
@@ -399,12 +427,37 @@ def runge_kutta(f, u: Array, dt: float, steps: int) -> Array:
     return u
 
 
-@query("wave_steps", None)
+def _wave_weights(dt: float, steps: int) -> list[float]:
+    """What `steps` steps make of the values 0, 1, ... years before: a step is a polynomial in the shift."""
+    import numpy as np
+
+    slope = np.polynomial.Polynomial([-1.0, 1.0])
+    step = sum(((dt * slope) ** k / math.factorial(k) for k in range(1, 5)), np.polynomial.Polynomial([1.0]))
+    return (step**steps).coef.tolist()
+
+
+_WEIGHTS = ", ".join(f"({k}, {c!r}::DOUBLE)" for k, c in enumerate(_wave_weights(0.1, 2)))
+
+
+@query("wave_steps", f"""SELECT a.i0, a.i1, sum(b.v * w.c) AS v FROM Q a JOIN Q b ON b.i0 = a.i0, (VALUES {_WEIGHTS}) w(k, c)
+      WHERE b.i1 = (a.i1 + 14 - w.k) % 7 GROUP BY 1, 2""", 6)
 def _(s):
     """Runge-Kutta steps of the upwind difference along the years of Q."""
     return runge_kutta(lambda x: t.roll(x, 1, 1) - x, s.Q.astype("float64"), 0.1, 2)
 
 
+@query("windowed_sums", """SELECT user_id::BIGINT AS i0, day AS i1, count(*) AS v
+      FROM (SELECT user_id, epoch(ts)::BIGINT // 86400 AS day FROM events)
+      WHERE (day + 1) * 86400 <= (SELECT epoch(max(ts)) - 3600 FROM events) GROUP BY 1, 2""")
+def _(s):
+    """Events of each user and day, from a stream: days come out once the watermark has passed their end."""
+    events = s.read("events")
+    stream = s.spark.readStream.schema(events.schema).parquet(f"{s.sf_dir}/event[s].parquet")
+    sums = windowed_sums(stream, "ts", "1 hour", "1 day", {"i0": F.col("user_id")}, F.lit(1), "int64")
+    cells = sums.select("i0", F.expr("unix_seconds(start) DIV 86400").alias("i1"), "v")
+    return drained(cells, f"{shared_folder(s.spark)}/windows-{uuid.uuid4().hex}")
+
+
 @query("fourier", """SELECT a.i0, k.k AS i1, sqrt(pow(sum(a.v * cos(2 * pi() * a.i1 * k.k / 24)), 2)
       + pow(sum(a.v * sin(2 * pi() * a.i1 * k.k / 24)), 2)) AS v
       FROM H a CROSS JOIN (SELECT unnest(range(24)) AS k) k GROUP BY 1, 2""", 4)

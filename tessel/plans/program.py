@@ -132,10 +132,3 @@ def distribute(f: Callable[[Array], Array], terms: list[tuple[Array, float]]) ->
     if total is None:
         raise ValueError("no terms")
     return total
-
-
-def gather_shape(*arrays: Array) -> tuple[int, ...]:
-    """The shape that arrays broadcast to."""
-    from tessel.operators.shapes import broadcast_shapes
-
-    return normal_shape(broadcast_shapes(*[a.shape for a in arrays]))

@@ -15,14 +15,27 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def vector(df: DataFrame, key: str, value: Column | str, dtype) -> Array:
+def check_key(df: DataFrame, key: str) -> None:
+    """One aggregate that raises where a key is not 0 .. n-1, each once."""
+    n, least, most, kinds = df.agg(F.count("*"), F.min(key), F.max(key), F.count_distinct(key)).first()
+    if n and (least, most, kinds) != (0, n - 1, n):
+        raise ValueError(f"{key} has {kinds} values from {least} to {most} in {n} rows")
+
+
+def vector(df: DataFrame, key: str, value: Column | str, dtype, check: bool = False) -> Array:
     """A column by its dense key 0 .. n-1; n is the number of rows, counted from the files' footers."""
+    if check:
+        check_key(df, key)
     value = F.col(value) if isinstance(value, str) else value
     return from_relation(df.select(F.col(key).alias("i0"), value.alias("v")), (df.count(),), dtype)
 
 
-def matrix(df: DataFrame, key: str, rows: str, width: int, dtype) -> Array:
+def matrix(df: DataFrame, key: str, rows: str, width: int, dtype, check: bool = False) -> Array:
     """Row arrays of one length by a dense key."""
+    if check:
+        check_key(df, key)
+        if df.filter(F.size(rows) != width).limit(1).count():
+            raise ValueError(f"rows of {rows} that are not {width} long")
     cells = df.select(F.col(key).alias("i0"), F.posexplode(rows).alias("i1", "v"))
     return from_relation(cells, (df.count(), width), dtype)
 

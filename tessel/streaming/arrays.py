@@ -35,6 +35,13 @@ def run_on_batches(
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def drained(result: DataFrame, path: str) -> DataFrame:
+    """Everything that a stream gives for the input there is now, written to a table under `path` and read back."""
+    out = result.writeStream.format("parquet").outputMode("append").option("path", f"{path}/cells")
+    out.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return result.sparkSession.read.schema(result.schema).parquet(f"{path}/cells")
+
+
 def windowed_sums(
     stream: DataFrame, time: str, late: str, window: str, coords: dict[str, Column], value: Column, dtype
 ) -> DataFrame:
