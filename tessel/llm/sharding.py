@@ -64,24 +64,49 @@ class SlotMap:
             if b >= 0:
                 move(b, high)
 
+    def grown(self, weight: dict[int, int]) -> SlotMap:
+        """The next version, with one more shard: it takes slots from the fullest of the others, the largest that it
+        has room for, up to an even share.  No slot moves between the others."""
+        owner, edits, version = list(self.owner), list(self.edits), self.version + 1
+        load, held = [0] * self.shards, [set() for _ in range(self.shards)]
+        for slot, shard in enumerate(owner):
+            load[shard] += weight.get(slot, 0)
+            held[shard].add(slot)
+        room = sum(load) // (self.shards + 1)
+        while True:
+            for shard in sorted(range(self.shards), key=lambda s: (-load[s], s)):
+                fits = [s for s in held[shard] if 0 < weight.get(s, 0) <= room]
+                if fits:
+                    break
+            else:
+                return SlotMap(self.shards + 1, owner, version, edits)
+            slot = max(fits, key=lambda s: (weight[s], -s))
+            held[shard].discard(slot)
+            load[shard] -= weight[slot]
+            room -= weight[slot]
+            owner[slot] = self.shards
+            edits.append((version, slot, shard, self.shards))
+
     def rows(self) -> list[tuple[int, int, int]]:
         return [(self.version, slot, shard) for slot, shard in enumerate(self.owner)]
 
     def save(self, spark: SparkSession, path: str) -> None:
-        """Adds this version to the store: its map and the edits that led to it."""
-        spark.createDataFrame(self.rows(), "version int, slot int, shard int").coalesce(1).write.mode(
-            "append"
-        ).partitionBy("version").parquet(f"{path}/map")
-        new = [e for e in self.edits if e[0] == self.version]
-        spark.createDataFrame(new, "version int, slot int, from_shard int, to_shard int").coalesce(1).write.mode(
-            "append"
-        ).parquet(f"{path}/edits")
+        """Puts this version into the store: its map and the edits that led to it.  Saved again it replaces itself."""
+        rows = [r[1:] for r in self.rows()]
+        spark.createDataFrame(rows, "slot int, shard int").coalesce(1).write.mode("overwrite").parquet(
+            f"{path}/map/version={self.version}"
+        )
+        new = [e[1:] for e in self.edits if e[0] == self.version]
+        spark.createDataFrame(new, "slot int, from_shard int, to_shard int").coalesce(1).write.mode("overwrite").parquet(
+            f"{path}/edits/version={self.version}"
+        )
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, shards: int, version: int) -> SlotMap:
         """A stored version; it has a row a slot, whatever the corpus."""
-        kept = spark.read.parquet(f"{path}/map").filter(F.col("version") == version).orderBy("slot").collect()
-        edits = spark.read.parquet(f"{path}/edits").filter(F.col("version") <= version).collect()
+        kept = spark.read.parquet(f"{path}/map/version={version}").orderBy("slot").collect()
+        edits = spark.read.schema("slot int, from_shard int, to_shard int, version int").parquet(f"{path}/edits")
+        edits = edits.filter(F.col("version") <= version).select("version", "slot", "from_shard", "to_shard").collect()
         return cls(shards, [r.shard for r in kept], version, sorted(map(tuple, edits)))
 
 
@@ -157,7 +182,12 @@ def shard_documents(
     return assign(rows, final, {s: n for s, (_, n) in weights.items()})
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Writes the documents in folders shard=N; `placed` is the assignment of tables with unique ids."""
-    where = placed.select(F.col("doc_id").alias(id_col), "shard", "virtual_slot")
-    docs.join(where, id_col).repartition("virtual_slot").drop("virtual_slot").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Writes the documents in folders shard=N, each once; `placed` is the assignment of their rows.
+
+    Rows are found by id and text, with null ids and repeated rows too: where rows are alike, so are their shards.
+    """
+    where = placed.select(F.col("doc_id").alias("at_id"), F.col("text_crc32").alias("at_crc"), "shard", "virtual_slot").distinct()
+    crc = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    joined = docs.join(where, F.col(id_col).eqNullSafe(F.col("at_id")) & (crc == F.col("at_crc")))
+    joined.drop("at_id", "at_crc").repartition("virtual_slot").drop("virtual_slot").write.partitionBy("shard").parquet(path)

@@ -13,6 +13,7 @@ it, so that a base plus an offset is a place in the whole data set.  All three a
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
@@ -45,12 +46,26 @@ _ODD_ASCII = re.compile("[\x0b\x0c\x1c-\x1f]")
 MANIFEST = "part int, stem string, n_null long, n_docs long, n_tokens long, width int"
 
 
+def _cuts_into_units(config: dict) -> bool:
+    """Whether a tokenizer is one whose ids are those of its units: byte-level, cut by the usual pattern, without a
+    normalizer and without an added token that white space is in or may be taken with."""
+    how = config.get("pre_tokenizer") or {}
+    added = config.get("added_tokens") or []
+    return (
+        config.get("normalizer") is None
+        and (how.get("type"), how.get("add_prefix_space"), how.get("use_regex", True)) == ("ByteLevel", False, True)
+        and config["model"].get("type") == "BPE"
+        and not config["model"].get("dropout")
+        and not any(a["content"].split() != [a["content"]] or a["lstrip"] or a["rstrip"] or a["single_word"] for a in added)
+    )
+
+
 class Encoder:
     """Texts to ids as bytes, with the tokenizers library.
 
     A byte-level BPE never merges over the start of white space, nor from a letter to a full stop or comma, so a
     text's ids are those of its units (white space and the word after it, or the mark after a word) end to end,
-    and a unit's ids are looked up once and remembered.
+    and a unit's ids are looked up once and remembered.  Texts are encoded whole if the tokenizer is of another kind.
     """
 
     def __init__(self, path: str):
@@ -58,6 +73,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
+        self.by_unit = _cuts_into_units(json.loads(self.model.to_str()))
         self.width = 2 if self.model.get_vocab_size() <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
         marks = self._ids(_MARK + " a" + _MARK)
@@ -105,7 +121,8 @@ class Encoder:
         out: list[bytes | None] = [None] * len(texts)
         plain = []
         for k, text in enumerate(texts):
-            if not text.isascii() and _ODD.search(text) or text.isascii() and _ODD_ASCII.search(text):
+            odd = _ODD_ASCII if text.isascii() else _ODD
+            if not self.by_unit or odd.search(text):
                 out[k] = self._encode([text])[0]
             elif len(text) > _SLICE:
                 units = (m[0] for m in _UNIT.finditer(text))
@@ -145,7 +162,8 @@ def write_tokens(
     """Writes the data set to `path`, a URI that all executors can write; returns the manifest with its bases.
 
     Null texts count as empty: their documents hold the end id alone.  Repeated ids stay as so many documents,
-    in the order of their texts.  An empty table gives no parts.  A task that runs again writes files of its
+    in the order of their texts; rows without an id come first.  Very long texts are encoded whole, a stretch at a
+    time.  An empty table gives no parts; other columns are not read.  A task that runs again writes files of its
     own; the manifest names those of the attempt that counted.
     """
 

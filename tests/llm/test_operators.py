@@ -631,3 +631,55 @@ def test_odd_pages(spark):
     }
     assert langid.identify(langid.page_evidence(pages)).count() == 5
     assert langid.identify(langid.page_evidence(pages.limit(0))).count() == 0
+
+
+def test_shards_equal_plain_ones(spark, sf_dir, edge, tmp_path):
+    """Sizes and checksums of all rows; a stored map sends each slot's rows; what is written is each row once."""
+    for k, docs in enumerate((spark.read.parquet(f"{sf_dir}/documents.parquet"), edge)):
+        path = f"file://{tmp_path}/{k}"
+        placed = sharding.shard_documents(docs, shards=5, slots=128, store=f"{path}/map").cache()
+        raw = Counter((r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in docs.collect())
+        rows = placed.collect()
+        assert Counter((r.doc_id, r.size, r.text_crc32) for r in rows) == raw
+        owner = sharding.SlotMap.load(spark, f"{path}/map", 5, 1).owner
+        assert all(owner[r.virtual_slot] == r.shard for r in rows)
+        for shard in range(5):
+            places = sorted(r.slot for r in rows if r.shard == shard)
+            assert places == list(range(len(places)))
+        sharding.write_shards(docs, placed, f"{path}/out")
+        back = spark.read.parquet(f"{path}/out").collect()
+        assert Counter((r.doc_id, r.text) for r in back) == Counter((r.doc_id, r.text) for r in docs.collect())
+        assert Counter(r.shard for r in back) == Counter(r.shard for r in rows)
+
+
+def test_slot_maps_grow_and_are_saved_again(spark, tmp_path):
+    weight = {s: 1 + s % 7 for s in range(100)}
+    first = sharding.SlotMap.first(100, 4).rebalanced(weight)
+    more = first.grown(weight)
+    assert all(a == b or b == 4 for a, b in zip(first.owner, more.owner)) and more.shards == 5
+    load = Counter()
+    for slot, shard in enumerate(more.owner):
+        load[shard] += weight[slot]
+    assert max(load.values()) - min(load.values()) <= 14
+    for m in (first, more, more):
+        m.save(spark, f"file://{tmp_path}")
+    back = sharding.SlotMap.load(spark, f"file://{tmp_path}", 5, 2)
+    assert back.owner == more.owner and sorted(back.edits) == sorted(more.edits)
+
+
+def test_other_tokenizers_take_texts_whole(tmp_path):
+    """A tokenizer that cuts otherwise gives its own ids, not those of units."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    config = json.load(open(vocabulary("byte_bpe_50k.json")))
+    texts = ["Hello, wide world. a b", " two  spaces\nand lines ", "x<|a b|>y"]
+    for change in ({"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": False}}, {"normalizer": {"type": "Lowercase"}}):
+        path = f"{tmp_path}/t.json"
+        json.dump(config | change, open(path, "w"))
+        enc, model = tokenfiles.Encoder(path), Tokenizer.from_file(path)
+        assert not enc.by_unit
+        for t, ids in zip(texts, enc.encode(texts)):
+            assert np.frombuffer(ids, enc.dtype).tolist() == model.encode(t, add_special_tokens=False).ids
+    assert tokenfiles.Encoder(vocabulary("byte_bpe_50k.json")).by_unit
