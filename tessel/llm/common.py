@@ -48,20 +48,24 @@ def cut(df: DataFrame, purpose: str) -> DataFrame:
 HOT_ROWS = 200_000
 
 
-def spread_join(big: DataFrame, small: DataFrame, key: str, n: str = "n", how: str = "inner", hot: int | None = None) -> DataFrame:
+def spread_join(
+    big: DataFrame, small: DataFrame, key: str | list[str], n: str = "n", how: str = "inner", hot: int | None = None
+) -> DataFrame:
     """big joined with small on `key`, where keys that hold many rows of `big` are dealt over several tasks.
 
     `small` has distinct keys, and in `n` (which goes) how many rows of `big` have each.  Keys of over `hot` rows are
     few, rows of `big` by `hot` at most; they are broadcast, which the caller's bound on rows proves small, and each
     has as many copies in `small` as tasks.  `big` is read from a table, so that a task run anew deals as before.
     """
-    hot = hot or HOT_ROWS
-    parts = small.filter(F.col(n) > hot).select(F.col(key).alias("hot_key"), F.ceil(F.col(n) / hot).cast("int").alias("salts"))
-    dealt = big.join(F.broadcast(parts), F.col(key) == F.col("hot_key"), "left")
+    hot, keys = hot or HOT_ROWS, [key] if isinstance(key, str) else key
+    parts = small.filter(F.col(n) > hot).select(
+        *[F.col(k).alias(f"hot_{k}") for k in keys], F.ceil(F.col(n) / hot).cast("int").alias("salts")
+    )
+    dealt = big.join(F.broadcast(parts), [F.col(k) == F.col(f"hot_{k}") for k in keys], "left")
     dealt = dealt.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.coalesce("salts", F.lit(1))).cast("int"))
     last = F.greatest(F.ceil(F.col(n) / hot) - 1, F.lit(0)).cast("int")
     copies = small.withColumn("salt", F.explode(F.sequence(F.lit(0), last))).drop(n)
-    return dealt.drop("hot_key", "salts").join(copies, [key, "salt"], how).drop("salt")
+    return dealt.drop("salts", *[f"hot_{k}" for k in keys]).join(copies, [*keys, "salt"], how).drop("salt")
 
 
 def vocabulary(name: str) -> str:

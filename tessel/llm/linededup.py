@@ -7,7 +7,7 @@ import string
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import cut
+from tessel.llm.common import cut, spread_join
 
 _SPACE = " \t\n\x0b\x0c\r"
 
@@ -41,7 +41,7 @@ def dedupe_lines(
 
     A null or empty text is one empty line and stays the empty text.  Rows with one doc_id are one document in
     the counts, and each keeps a result row.  Rows with a null doc_id belong to no document: they are not
-    counted and lose nothing.  An empty table gives an empty result; other columns are not read.
+    counted and lose nothing.  Very long texts are split whole; ties can't be, as ids are told apart.  An empty table gives an empty result; other columns are not read.
     """
     carried = F.struct(*carry) if carry else F.lit(None)
     rows = docs.select(
@@ -52,13 +52,14 @@ def dedupe_lines(
     # documents hold is aggregated by (key, document) first and never gathered anywhere.
     frequent = cut(
         lines.groupBy("h1", "h2")
-        .agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("holder"))
-        .filter(F.col("n") >= min_docs)
-        .drop("n"),
+        .agg(F.count_distinct("doc_id").alias("docs"), F.max("doc_id").alias("holder"), F.count("*").alias("n"))
+        .filter(F.col("docs") >= min_docs)
+        .drop("docs"),
         "frequent-lines",
     )
+    # A line that a third of all documents hold is joined in several tasks.
     drops = (
-        lines.join(frequent, ["h1", "h2"])
+        spread_join(lines, frequent, ["h1", "h2"])
         .filter("doc_id <> holder")
         .distinct()
         .groupBy("doc_id", "row")
