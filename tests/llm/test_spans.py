@@ -170,3 +170,39 @@ def test_disclosing_terms_equal_plain_ones_wherever_they_stand(spark):
         assert [(k, int(a), int(b)) for k, a, b in got] == want and r.n_terms == len(want), r.doc_id
         some += len(want)
     assert some > 50
+
+
+def test_ownership_equals_plain_counts(spark):
+    """Counts, verdicts and added spans of a corpus in which values are shared, copied and owned."""
+    rng = random.Random(17)
+    values = ["".join(rng.choices("ABCDEFGHJKabcdefghjk23456789", k=rng.choice([20, 24, 40]))) for _ in range(25)]
+    values += [rng.randbytes(16).hex() for _ in range(10)] + ["AKIA" + "".join(rng.choices("ABCDEFG2345", k=16)) for _ in range(5)]
+    rows = []
+    for k in range(400):
+        # Few values are everywhere, most in few places.
+        own = [values[min(int(rng.expovariate(0.12)), len(values) - 1)] for _ in range(rng.choice([0, 1, 1, 2]))]
+        text = " ".join(rng.choice([f"see {v} now", f"token: {v}", f"'{v}'"]) for v in own) + f" end {rng.choice([k, 1])}"
+        rows.append((k, text, rng.choice(["hot"] * 6 + [f"s{k % 9}", None]), rng.choice(["en", "de"])))
+    rows += [(1000, "x " * 60_000 + values[-1], "solo", "en"), (1001, "y " * 60_000 + f"key {values[24]}", None, "en")]
+    held = {}
+    for _, text, owner, lang in rows:
+        for _, _, _, v in secrets.candidates(text, 3.0):
+            held.setdefault(v, set()).add((owner or "", (owner, lang), text))
+    verdicts = {}
+    for v, who in held.items():
+        repos, owners, texts = len({(o, r) for o, r, _ in who}), len({o for o, _, _ in who}), len({t for _, _, t in who})
+        kind = "example" if owners >= 3 or repos >= 3 or texts >= 5 else "live" if owners == 1 and secrets.looks_random(v, 3.0) else "shared"
+        verdicts[v] = kind, f"{repos}:{owners}:{texts}"
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(5)
+    got, added = {r.doc_id: r for r in secrets.find_secrets(docs).collect()}, 0
+    for i, text, _, _ in rows:
+        spans = [x for x in secrets.candidates(text, 3.0) if x[0] != "owned" or verdicts[x[3]][0] == "live"]
+        order = {"assign": 0, "access": 1, "hex": 2, "owned": 3}
+        spans.sort(key=lambda x: (x[1], order[x[0]]))
+        r = got[i]
+        assert r.spans == ",".join(f"{k}:{a}:{b}" for k, a, b, _ in spans)
+        assert r.held == ",".join(verdicts[v][1] for *_, v in spans)
+        for name in ("live", "example"):
+            assert r[f"n_{name}"] == sum(verdicts[v][0] == name for *_, v in spans)
+        added += sum(k == "owned" for k, *_ in spans)
+    assert added > 3 and {k for k, _ in verdicts.values()} == {"example", "live", "shared"}
