@@ -5,10 +5,10 @@ hashes: 20 bands of 5 find a pair of similarity 0.8 with a chance of 0.9996, and
 Every candidate is verified on the sets of shingle hashes, so that no pair under the similarity is a link.
 
 Members of a band are compared with its member of the fewest shingles: where members share a core and differ in
-what stands around it, no other one is as similar to all of them.  Bands that this leaves in several groups are
-joined by prefixes: with shingles in the order of how many of these texts hold them, two sets of that similarity
-share one of the rarest fifth of either.  So passages that many texts quote make no pairs, and a family of near
-copies takes work in proportion to its members.
+what stands around it, no other one is as similar to all of them.  Of bands that this leaves in several groups, those
+of up to `bucket` members are compared pair by pair, and larger ones are joined by prefixes: with shingles in the
+order of how many of these texts hold them, two sets of that similarity share one of the rarest fifth of either.  So
+passages that many texts quote make no pairs, and a family of near copies takes work in proportion to its members.
 """
 
 from __future__ import annotations
@@ -110,7 +110,17 @@ def _rarest(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return ranked.filter((F.col("place") <= prefix) & (F.col("n") > 1)).select("shingle", "key", "size")
 
 
-def groups(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+def _met(members: DataFrame, at: str) -> DataFrame:
+    """The pairs of members at one place, with their components and, if they are known, sizes."""
+    sized = "size" in members.columns
+    a, b = (
+        members.select(at, F.col("component").alias(f"c{x}"), F.col("key").alias(x), *([F.col("size").alias(y)] if sized else []))
+        for x, y in (("a", "x"), ("b", "y"))
+    )
+    return a.join(b, at).drop(at)
+
+
+def groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, bucket: int = 64) -> DataFrame:
     """doc_id and component_id (the smallest doc_id of the group) for each row of `docs` (doc_id, text).
 
     Groups are connected by pairs of texts of similarity `least`.  Texts without words are equal to each other.
@@ -147,13 +157,13 @@ def groups(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
     first = cut(connected(firsts.select("key"), linked), "first-groups")
 
     placed = shared.select("band", "key").join(first, "key")
-    apart = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-    open_ = cut(placed.join(apart.select("band"), "band").select("key", "component").distinct(), "apart")
-    rare = cut(_rarest(open_.select("key"), sets, least).join(open_, "key"), "prefixes")
-    a = rare.select("shingle", F.col("component").alias("ca"), F.col("key").alias("a"), F.col("size").alias("x"))
-    b = rare.select("shingle", F.col("component").alias("cb"), F.col("key").alias("b"), F.col("size").alias("y"))
+    apart = placed.groupBy("band").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    open_ = cut(placed.join(apart.filter("lo <> hi").select("band", "n"), "band"), "apart")
+    few = open_.filter(F.col("n") <= bucket)
+    many = open_.filter(F.col("n") > bucket).select("key", "component").distinct()
+    rare = cut(_rarest(many.select("key"), sets, least).join(many, "key"), "prefixes")
     close = (F.col("ca") < F.col("cb")) & (F.least("x", "y") >= least * F.greatest("x", "y"))
-    rest = cut(pairs(a.join(b, "shingle").filter(close)), "candidates")
+    rest = cut(pairs(_met(few, "band").filter("ca < cb").unionByName(_met(rare, "shingle").filter(close).drop("x", "y"))), "candidates")
     final = connected(firsts.select("key"), linked.unionByName(_similar(rest, sets, least)))
     joined = cut(final.join(firsts.select("key", "first", "rows"), "key"), "text-groups")
     ids = joined.groupBy("component").agg(F.min("first").alias("component_id"))

@@ -106,7 +106,10 @@ def test_shared_passages_make_no_pairs_and_hide_none(spark):
         least[root(k)] = min(least.get(root(k), i), i)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in neardup.groups(docs).collect()}
-    assert got == {i: least[root(k)] for k, (i, _) in enumerate(rows)}
+    want = {i: least[root(k)] for k, (i, _) in enumerate(rows)}
+    assert got == want
+    for bucket in (1, 1000):  # prefixes alone, and pairs alone
+        assert {r.doc_id: r.component_id for r in neardup.groups(docs, bucket=bucket).collect()} == want
     assert 50 < len(set(got.values())) < len(rows) - 5
 
 
