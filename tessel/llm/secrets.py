@@ -149,9 +149,10 @@ def find_secrets(
     `spans` has the base spans and, of kind `owned`, the long random-looking tokens that one owner alone holds.
     A value that `example_owners` owners, `example_repos` repositories or `example_documents` distinct texts or more
     hold counts as an example, within one owner too; a random-looking one of the others that a single owner holds
-    counts as live; the rest are neither.  `held` has repos:owners:documents of each span's value.  A null owner is an owner of its own.  Null and empty
-    texts have no spans; repeated rows are scanned each, and their values count once for each repository.  An
-    empty table gives an empty result; other columns are not read.
+    counts as live; the rest are neither.  `held` has repos:owners:documents of each span's value.  Counts equal to
+    a threshold reach it.  A null owner is an owner of its own.  Null and empty texts have no spans; very long ones
+    are scanned whole; repeated rows are scanned each, and their values count once for each repository.  An empty
+    table gives an empty result; other columns are not read.
     """
     found = cut(scan(docs, owner, repo, least_bits, id_col, text_col), "secrets")
     spans = found.filter(F.size("found") > 0).select("doc_id", "row", F.explode("found").alias("f"))

@@ -170,7 +170,8 @@ def shard_documents(
     A size is the text's UTF-8 bytes plus 1.  The map starts with equal ranges of slots and is rebalanced once by
     the bytes of each slot; with `store`, both versions and the edits are written there.  Null texts count as
     empty and null ids hash like a value; repeated rows land in one slot and get a place each.  A record larger
-    than an even share stays whole.  An empty table gives an empty result; other columns are not read.
+    than an even share, as a very long text may be, stays whole.  Of slots that even out bytes equally well the first
+    moves.  An empty table gives an empty result; other columns are not read.
     """
     rows = sized(docs, slots, id_col, text_col)
     weights = slot_weights(rows)
