@@ -132,7 +132,7 @@ def groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, bucket: int =
     firsts = sketches.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"), *of_text)
     firsts = cut(firsts, "texts")
     # Fingerprints' links, as pairs of the least texts that have them; texts with one fingerprint are a star.
-    heads = firsts.groupBy("fp").agg(F.min("key").alias("head"), F.count("*").alias("n"))
+    heads = cut(firsts.groupBy("fp").agg(F.min("key").alias("head"), F.count("*").alias("n")), "heads")
     near = simhash.links(heads.select("fp"))
     near = near.join(heads.select(F.col("fp").alias("src"), F.col("head").alias("a")), "src")
     near = near.join(heads.select(F.col("fp").alias("dst"), F.col("head").alias("b")), "dst")

@@ -33,7 +33,7 @@ _LITERAL = "\ud800"
 _LETTER = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
 #: Units that a worker remembers the plain merges of, and courses with skipped candidates; a larger set is
 #: forgotten and learnt again.
-CACHE_UNITS, CACHE_COURSES = 500_000, 400_000
+CACHE_UNITS, CACHE_COURSES = 300_000, 150_000
 #: Characters of texts that are cut into units at a time, and the longest units whose agendas advance together.
 _SLICE, _SHORT = 1 << 21, 64
 _NEVER, _MASK, _ODD = 1 << 30, (1 << 64) - 1, 0x9E3779B97F4A7C15
