@@ -43,11 +43,11 @@ def drained(result: DataFrame, path: str) -> DataFrame:
 
 
 def windowed_sums(
-    stream: DataFrame, time: str, late: str, window: str, coords: dict[str, Column], value: Column, dtype
+    stream: DataFrame, time: str, late: str, window: str, coords: dict[str, Column], value: Column, dtype, start: str | None = None
 ) -> DataFrame:
     """Sums by tumbling event-time window and coordinates: a window's cells come out once, when the watermark
-    has passed it; rows later than `late` are left out."""
-    keys = [F.window(time, window).alias("w"), *[c.cast("bigint").alias(n) for n, c in coords.items()]]
+    has passed it; rows later than `late` are left out.  `start` shifts all windows."""
+    keys = [F.window(time, window, window, start).alias("w"), *[c.cast("bigint").alias(n) for n, c in coords.items()]]
     timed = stream.withColumn(time, F.col(time).cast("timestamp"))
     sums = timed.withWatermark(time, late).groupBy(*keys).agg(F.sum(value).cast(spark_type(dtype)).alias("v"))
     return sums.select(F.col("w.start").alias("start"), *coords, "v")
