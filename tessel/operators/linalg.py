@@ -17,6 +17,9 @@ from tessel.operators.array import BROADCAST_BYTES, Array, _converted, is_scalar
 from tessel.operators.elementwise import conj
 from tessel.operators.reshaping import ravel
 
+#: The longest sums that are written out term by term, and the cells of a product that a task makes.
+UNROLLED, TASK_CELLS = 64, 4_000_000
+
 
 def _parse(spec: str, operands: list[Array]) -> tuple[list[str], str]:
     spec = spec.replace(" ", "")
@@ -75,6 +78,47 @@ class _Term:
         df = both.select(*[f"c_{x}" for x in self.letters], *[F.col(f"o_{x}").alias(f"c_{x}") for x in new], value.alias("v"))
         return _Term(df, self.letters + "".join(new), self.lengths, self.kind)
 
+    def _vectors(self, over: str, name: str, parts: int = 0) -> DataFrame:
+        """A row for each set of the other coordinates, with the cells along the letters `over` as columns."""
+        keys = [F.col(f"c_{x}").alias(f"{name}_{x}") for x in self.letters if x not in over]
+        place = F.lit(0).cast("bigint")
+        for x in over:
+            place = place * self.lengths[x] + F.col(f"c_{x}")
+        rows = self.df.select(*keys, place.alias("place"), "v")
+        names = [f"{name}_{x}" for x in self.letters if x not in over]
+        if parts > 1:
+            rows = rows.repartition(parts, *names)
+        return rows.groupBy(*names).agg(*[F.sum(F.when(F.col("place") == k, F.col("v"))).alias(f"{name}{k}") for k in range(self.cells(over))])
+
+    def product(self, other: _Term, gone: set[str], to: str) -> _Term | None:
+        """`times`, summed over the shared letters `gone`, where the result has more cells than the operands: rows of
+        one meet rows of the other, and a cell of the result is made in one place and not shuffled.  None where that
+        does not pay."""
+        over = "".join(x for x in self.letters if x in gone and x in other.letters)
+        both = "".join(x for x in self.letters if x in other.letters and x not in gone)
+        own = [x for x in self.letters if x not in over and x not in both]
+        new = [x for x in other.letters if x not in over and x not in both]
+        size, inner = self.cells([*both, *own, *new]), self.cells(over)
+        if self.kind not in "if" or not (over and own and new) or inner > UNROLLED or size <= self.cells() + other.cells():
+            return None
+        row = [other.cells() // inner * (inner + len(other.letters)) * 8, self.cells() // inner * (inner + len(self.letters)) * 8]
+        if row[1] < row[0] and row[1] <= BROADCAST_BYTES:
+            return other.product(self, gone, to)
+        small = row[0] <= BROADCAST_BYTES
+        if both and not small:
+            return None
+        tasks = math.ceil(size / TASK_CELLS)
+        if not small:  # each part of the one meets each part of the other
+            tasks = math.ceil(tasks**0.5)
+        left, right = self._vectors(over, "a", tasks), other._vectors(over, "b", 0 if small else tasks)
+        right = F.broadcast(right) if small else right
+        met = left.join(right, [F.col(f"a_{x}") == F.col(f"b_{x}") for x in both]) if both else left.crossJoin(right)
+        wide = "bigint" if self.kind == "i" else "double"
+        products = [scalar.multiply(F.col(f"a{k}").cast(to), F.col(f"b{k}").cast(to), self.kind) for k in range(inner)]
+        value = sum((F.coalesce(p.cast(wide), F.lit(0).cast(wide)) for p in products[1:]), F.coalesce(products[0].cast(wide), F.lit(0).cast(wide)))
+        names = [F.col(f"a_{x}").alias(f"c_{x}") for x in [*both, *own]] + [F.col(f"b_{x}").alias(f"c_{x}") for x in new]
+        return _Term(met.select(*names, value.cast(to).alias("v")), "".join([*both, *own, *new]), self.lengths, self.kind)
+
 
 def _term(a: Array, letters: str, lengths: dict[str, int], dtype) -> _Term:
     """Equal letters become a filter; an axis of length 1 whose letter is longer elsewhere is no coordinate."""
@@ -132,7 +176,9 @@ def einsum(spec: str, *operands: Array, reductions: Mapping[str, Iterable[Hashab
             return terms[i].cells(both & others), terms[i].cells(both), pair
 
         i, j = min(pairs, key=left)
-        terms = finish([terms[i].times(terms[j]), *[t for k, t in enumerate(terms) if k not in (i, j)]])
+        others = [t for k, t in enumerate(terms) if k not in (i, j)]
+        gone = set(terms[i].letters + terms[j].letters).difference(out, *[t.letters for t in others])
+        terms = finish([terms[i].product(terms[j], gone, to) or terms[i].times(terms[j]), *others])
     found = terms[0]
     df = found.df
     for x in out:  # a letter of length 1 everywhere may have no coordinate left

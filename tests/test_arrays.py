@@ -488,3 +488,27 @@ def test_random_programs(spark, seed):
     for _ in range(6):
         pool.append(rng.choice(steps)(rng.choice(pool), rng.choice(pool)))
     check(*pool[-1])
+
+
+@pytest.mark.parametrize("small", [8 << 20, 0])
+def test_products_larger_than_their_operands(spark, monkeypatch, small):
+    """Cells of a product that outnumber the operands' are made in one place: nothing is summed after the rows met."""
+    from tessel.operators import linalg
+
+    monkeypatch.setattr(linalg, "BROADCAST_BYTES", small)
+    monkeypatch.setattr(linalg, "TASK_CELLS", 200, raising=False)
+    x, y = np.arange(-60, 60).reshape(40, 3), np.arange(75.0).reshape(3, 25) / 7
+    a, b = from_numpy(spark, x), from_numpy(spark, y)
+    found = a @ b
+    np.testing.assert_allclose(found.collect(), x @ y, rtol=1e-12)
+    lines = found.df._jdf.queryExecution().simpleString().splitlines()
+    joins = [k for k, s in enumerate(lines) if "Join" in s or "CartesianProduct" in s]
+    assert joins and not any("Aggregate" in s or "Exchange" in s for s in lines[: joins[0]])
+    np.testing.assert_array_equal((a @ a.T).collect(), x @ x.T)
+    p, q = np.arange(120).reshape(2, 20, 3), np.arange(126).reshape(2, 3, 21)
+    np.testing.assert_array_equal((from_numpy(spark, p) @ from_numpy(spark, q)).collect(), p @ q)
+    r, s = np.arange(96).reshape(16, 2, 3), np.arange(90).reshape(3, 15, 2)
+    got = t.einsum("aij,jbi->ba", from_numpy(spark, r), from_numpy(spark, s))
+    np.testing.assert_array_equal(got.collect(), np.einsum("aij,jbi->ba", r, s))
+    with pytest.raises(Exception, match="(?i)overflow"):
+        (from_numpy(spark, np.full((9, 2), 1 << 62)) @ from_numpy(spark, np.full((2, 9), 2))).collect()
