@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessel.llm import simhash
-from tessel.llm.common import cut, spread_join
+from tessel.llm.common import cut, forget, spread_join
 from tessel.llm.components import connected
 
 BANDS, ROWS = 20, 5
@@ -52,6 +52,7 @@ def bands(hashes: np.ndarray) -> list[int]:
 
 def _sketches(texts: DataFrame, shingle: int) -> DataFrame:
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         for batch in batches:
             fps, sizes, found = [], [], []
             for text in batch["text"]:
@@ -68,6 +69,7 @@ def _sketches(texts: DataFrame, shingle: int) -> DataFrame:
 
 def _sets(texts: DataFrame, shingle: int) -> DataFrame:
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         for batch in batches:
             yield pd.DataFrame({"key": batch["key"], "held": [shingle_set(t, shingle).tobytes() for t in batch["text"]]})
 
@@ -78,6 +80,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs (src, dst) whose sets have a Jaccard similarity of `least` or more."""
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         for batch in batches:
             kept = np.zeros(len(batch), bool)
             for k, (x, y) in enumerate(zip(batch["a"], batch["b"])):
@@ -96,6 +99,7 @@ def _rarest(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """(shingle, key) for the prefix of each member's set: its rarest shingles, of which similar sets share one."""
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         for batch in batches:
             for key, held in zip(batch["key"], batch["held"]):
                 own = np.frombuffer(held, "<i8")

@@ -683,3 +683,17 @@ def test_other_tokenizers_take_texts_whole(tmp_path):
         for t, ids in zip(texts, enc.encode(texts)):
             assert np.frombuffer(ids, enc.dtype).tolist() == model.encode(t, add_special_tokens=False).ids
     assert tokenfiles.Encoder(vocabulary("byte_bpe_50k.json")).by_unit
+
+
+def test_what_operators_remember_is_given_back():
+    """Workers keep courses of op4 from task to task, until tasks of the near-duplicate stage need the memory."""
+    from tessel.llm import common
+
+    held = common.remembered({"x": 1})
+    piecedrop.coder(vocabulary("piece_bpe_32k.model"), 0.1).encode(["some words " * 9], [1])
+    common.forget()
+    assert not held and not piecedrop._coders
+    common._remembered.remove(held)
+    texts = ["some words " * 9]
+    again = piecedrop.coder(vocabulary("piece_bpe_32k.model"), 0.1)
+    assert again.decode(again.encode(texts, [1])[0]) == texts[0]
