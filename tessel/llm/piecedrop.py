@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessel.llm.common import remembered
 from tessel.llm.tokenfiles import slices
 
 _SPACE = "▁"
@@ -371,7 +372,7 @@ class PieceCoder:
         return text[1:]  # the space that encoding puts before the text
 
 
-_coders: dict[tuple, PieceCoder] = {}
+_coders: dict[tuple, PieceCoder] = remembered({})
 
 
 def coder(*how) -> PieceCoder:
