@@ -34,7 +34,7 @@ _LITERAL = "\ud800"
 _LETTER = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
 #: Units that a worker remembers the plain merges of, and courses with skipped candidates; a larger set is
 #: forgotten and learnt again.
-CACHE_UNITS, CACHE_COURSES = 300_000, 150_000
+CACHE_UNITS, CACHE_COURSES = 400_000, 200_000
 #: Characters of texts that are cut into units at a time, and the longest units whose agendas advance together.
 _SLICE, _SHORT = 1 << 21, 64
 _NEVER, _MASK, _ODD = 1 << 30, (1 << 64) - 1, 0x9E3779B97F4A7C15
@@ -71,26 +71,31 @@ def _spread(code: np.ndarray) -> np.ndarray:
 
 
 class Courses:
-    """Remembered courses of agendas: the merges done in order, what ids they lead to, what was skipped."""
+    """Remembered courses of agendas: the merges done in order, what ids they lead to, what was skipped.
+
+    Merges and ids lie end to end in one array each, in which those of a course start at its `first`, `id_first`."""
 
     def __init__(self):
         self.clear()
 
     def clear(self) -> None:
         self.units: list[str] = []
-        self.ids: list[bytes] = []
         self.skips: list[tuple[int, ...]] = []
-        self.first = np.zeros(1, np.int64)
-        self.codes = np.zeros(0, np.int32)
+        self.first = self.id_first = np.zeros(1, np.int64)
+        self.codes = self.ids = np.zeros(0, np.int32)
+        self.spread = np.zeros(0, np.uint64)  # of the codes
         self.known: dict = {}
 
-    def extend(self, names: list, units: list[str], skips: list, ids: list[bytes], times: np.ndarray, codes: np.ndarray) -> None:
-        self.known.update(zip(names, range(len(self.ids), len(self.ids) + len(ids))))
+    def extend(self, names: list, units: list[str], skips: list, found: tuple[np.ndarray, ...]) -> None:
+        ids, times, codes, n_ids = found
+        self.known.update(zip(names, range(len(self.units), len(self.units) + len(units))))
         self.units += units
-        self.ids += ids
         self.skips += skips
+        self.id_first = np.concatenate([self.id_first, self.id_first[-1] + np.cumsum(n_ids)])
+        self.ids = np.concatenate([self.ids, ids])
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(times)])
         self.codes = np.concatenate([self.codes, codes])
+        self.spread = np.concatenate([self.spread, _spread(codes)])
 
     def skipped(self, course: np.ndarray, done: np.ndarray, key: np.ndarray, rate: int) -> tuple[np.ndarray, np.ndarray]:
         """The occurrences (with a course, merges drawn for already, and a key) that skip a merge, and the first."""
@@ -98,12 +103,17 @@ class Courses:
         many = self.first[course + 1] - low
         each = np.repeat(np.arange(len(course)), many)
         at = np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many)
-        draws = _mixed_many(key[each] + _spread(self.codes[low[each] + at]))
+        draws = _mixed_many(key[each] + self.spread[low[each] + at])
         hit = np.flatnonzero(draws < np.uint64(rate))
         who, k = np.unique(each[hit], return_index=True)
         return who, done[who] + at[hit[k]]
 
 
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places from each start on, as many as n says, one after another."""
+    return np.arange(n.sum()) + np.repeat(start - np.cumsum(n) + n, n)
+
+
 def _normal(text: str) -> str:
     if _SPACE in text:
         text = text.replace(_SPACE, _LITERAL)
@@ -131,6 +141,9 @@ class PieceCoder:
             else:
                 self.pieces[piece] = (-model.get_score(i), i)
                 self.bytes_of.append(piece.replace(_SPACE, " ").encode())
+        self.flat = np.frombuffer(b"".join(self.bytes_of), np.uint8)  # all pieces' bytes, and where each one's are
+        self.flat_n = np.array(list(map(len, self.bytes_of)), np.int64)
+        self.flat_first = np.cumsum(self.flat_n) - self.flat_n
         self.unit = self._units()
         self.plain, self.others = Courses(), Courses()
         self.rank: np.ndarray | None = None
@@ -218,132 +231,145 @@ class PieceCoder:
             at[open_] = (at[open_] + 1) & (len(self.pair_key) - 1)
         return out
 
-    def courses(self, units: list[str], skips: list[tuple[int, ...]]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """For short units of which the candidates `skips` are skipped: their ids as bytes, how many merges each
-        goes through, and these one after another.  All agendas advance together, by each one's best merge."""
+    def courses(self, units: list[str], skips: list[tuple[int, ...]]) -> tuple[np.ndarray, ...]:
+        """For short units of which the candidates `skips` are skipped: their ids one after another, how many merges each
+        goes through, these one after another, and how many ids each has.
+
+        All agendas advance together, by each one's best merge.  Symbols stay at the place of their first character;
+        longer units come first, so that those that go on longest lie together."""
         if self.rank is None:
             self._tables()
-        chars = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<u4")
         lens = np.fromiter(map(len, units), np.int64, len(units))
-        first = np.cumsum(lens) - lens
-        word = np.repeat(np.arange(len(units)), lens)
-        start = np.arange(len(chars)) - np.repeat(first, lens)
-        stop, sym = start + 1, self.of_char[chars]
-        out = np.sort(np.array([w << 21 | c for w, own in enumerate(skips) for c in own], np.int64))
-        done: list[tuple[np.ndarray, ...]] = []
-        merges: list[tuple[np.ndarray, np.ndarray]] = []
-        worth = np.full(len(sym), _NEVER, np.int64)  # the rank of the merge of each symbol with the next
-        into = np.full(len(sym), -1, np.int32)
-        fresh = np.arange(len(sym))
-        while len(sym):
-            k = fresh[fresh + 1 < len(sym)]
-            k = k[(word[k] == word[k + 1]) & (sym[k] >= 0) & (sym[k + 1] >= 0)]
-            got = self._merged(sym[k], sym[k + 1])
-            worth[fresh] = _NEVER
+        order = np.argsort(-lens, kind="stable")
+        chars = np.frombuffer("".join(map(units.__getitem__, order.tolist())).encode("utf-32-le", "surrogatepass"), "<u4")
+        last = np.cumsum(lens[order])  # where each unit ends
+        first = last - lens[order]
+        word = np.repeat(np.arange(len(units)), lens[order])
+        sym = self.of_char[chars]
+        after, before = np.arange(1, len(chars) + 1), np.arange(-1, len(chars) - 1)  # the next symbol's place, the one before's
+        into = np.full(len(chars), -1, np.int32)
+        # What the merge of each symbol with the next is worth: its rank, and the place in the unit among equals.
+        worth, kept = np.full(len(chars), _NEVER, np.int64), np.ones(len(chars), bool)
+        place = np.empty(len(units), np.int64)
+        place[order] = np.arange(len(units))
+        out = np.sort(np.array([w << 21 | c for w, own in zip(place.tolist(), skips) for c in own], np.int64))
+
+        def propose(at: np.ndarray) -> None:
+            worth[at] = _NEVER
+            mid, own = after[at], word[at]
+            k = np.flatnonzero(mid < last[own])
+            at, mid, own = at[k], mid[k], own[k]
+            left, right = sym[at], sym[mid]
+            k = np.flatnonzero((left >= 0) & (right >= 0))
+            got = self._merged(left[k], right[k])
             k, got = k[got >= 0], got[got >= 0]
-            if len(out) and len(k):
-                code = word[k] << 21 | _code(start[k], stop[k], stop[k + 1])
-                keep = out[np.minimum(np.searchsorted(out, code), len(out) - 1)] != code
-                k, got = k[keep], got[keep]
-            worth[k], into[k] = self.rank[got], got
-            heads = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-            best = np.minimum.reduceat((worth << 32) | np.arange(len(sym)), heads)
-            over = best >= _NEVER << 32
-            if over.any():
-                gone = np.repeat(over, np.diff(np.r_[heads, len(sym)]))
-                done.append((word[gone], start[gone], sym[gone]))
-                shift = np.cumsum(gone)
-                best = best[~over]
-                at = (best & 0xFFFFFFFF) - shift[best & 0xFFFFFFFF]
-                word, start, stop, sym, worth, into = (x[~gone] for x in (word, start, stop, sym, worth, into))
-            else:
-                at = best & 0xFFFFFFFF
-            if not len(sym):
-                break
-            merges.append((word[at], _code(start[at], stop[at], stop[at + 1])))
-            sym[at], stop[at] = into[at], stop[at + 1]
-            kept = np.ones(len(sym), bool)
-            kept[at + 1] = False
-            shift = np.cumsum(~kept)
-            at = at - shift[at]
-            word, start, stop, sym, worth, into = (x[kept] for x in (word, start, stop, sym, worth, into))
-            changed = np.zeros(len(sym), bool)
-            changed[at] = changed[np.maximum(at - 1, 0)] = True
-            fresh = np.flatnonzero(changed)
-        word, start, sym = (np.concatenate(x) for x in zip(*done))
-        order = np.lexsort((start, word))
-        word, start, sym = word[order], start[order], sym[order].astype("<i4")
-        if (sym < 0).any():
+            if not len(k):
+                return
+            at, own = at[k], own[k]
+            start = at - first[own]
+            if len(out):
+                code = own << 21 | _code(start, mid[k] - first[own], after[mid[k]] - first[own])
+                k = np.flatnonzero(out[np.minimum(np.searchsorted(out, code), len(out) - 1)] != code)
+                at, start, got = at[k], start[k], got[k]
+            worth[at], into[at] = self.rank[got] << 7 | start, got
+
+        propose(np.arange(len(chars)))
+        merges: list[tuple[np.ndarray, np.ndarray]] = []
+        live = np.arange(len(units))
+        while len(live):
+            best = np.minimum.reduceat(worth[: last[live[-1]]], first[: live[-1] + 1])
+            live = np.flatnonzero(best < _NEVER)
+            head = first[live]
+            at = head + (best[live] & 127)
+            mid = after[at]
+            stop = after[mid]
+            merges.append((order[live], _code(at - head, mid - head, stop - head)))
+            sym[at], after[at], worth[mid], kept[mid] = into[at], stop, _NEVER, False
+            inner = stop < last[live]
+            before[stop[inner]] = at[inner]
+            propose(np.concatenate([at, before[at[at > head]]]))
+        where = np.flatnonzero(kept)
+        ids, owner = sym[where], order[word[where]]
+        if (ids < 0).any():
             # Characters without a piece become as many byte ids as they have bytes.
-            at = np.flatnonzero(sym < 0)
-            codes = [self._fallback(units[w][o]) for w, o in zip(word[at].tolist(), start[at].tolist())]
-            times = np.ones(len(sym), np.int64)
-            times[at] = list(map(len, codes))
-            where = np.repeat(sym < 0, times)
-            sym, word = np.repeat(sym, times), np.repeat(word, times)
-            sym[where] = np.concatenate(codes)
-        cuts = np.searchsorted(word, np.arange(len(units) + 1)) * 4
-        data, cuts = sym.tobytes(), cuts.tolist()
-        ids = [data[a:b] for a, b in zip(cuts, cuts[1:])]
-        if not merges:
-            return ids, np.zeros(len(units), np.int64), np.zeros(0, np.int32)
-        owner, codes = (np.concatenate(x) for x in zip(*merges))
-        order = np.argsort(owner, kind="stable")
-        return ids, np.bincount(owner, minlength=len(units)), codes[order].astype(np.int32)
+            codes = [self._fallback(chr(c)) for c in chars[where[ids < 0]].tolist()]
+            times = np.ones(len(ids), np.int64)
+            times[ids < 0] = list(map(len, codes))
+            fallen = np.repeat(ids < 0, times)
+            ids, owner = np.repeat(ids, times), np.repeat(owner, times)
+            ids[fallen] = np.concatenate(codes)
+        n_ids = np.bincount(owner, minlength=len(units))
+        ids = ids[_ranges((np.cumsum(n_ids[order]) - n_ids[order])[place], n_ids)]
+        # A unit goes on until it has no merge left, so that round k has its merge k.
+        times = sum((np.bincount(own, minlength=len(units)) for own, _ in merges), np.zeros(len(units), np.int64))
+        codes, base = np.zeros(times.sum(), np.int32), np.cumsum(times) - times
+        for k, (own, code) in enumerate(merges):
+            codes[base[own] + k] = code
+        return ids, times, codes, n_ids
 
     def _learn(self, units: list[str]) -> np.ndarray:
         """The plain course of each short unit; -1 for a long one."""
-        known = self.plain.known
-        new = [u for u in dict.fromkeys(units) if u not in known and len(u) <= _SHORT]
-        if len(known) + len(new) > CACHE_UNITS and known:
+        course = np.fromiter(map(self.plain.known.get, units, repeat(-1)), np.int64, len(units))
+        rest = np.flatnonzero(course < 0)
+        new = [u for u in dict.fromkeys(map(units.__getitem__, rest.tolist())) if len(u) <= _SHORT]
+        if not new:
+            return course
+        if len(self.plain.units) + len(new) > CACHE_UNITS and self.plain.units:
             self.plain.clear()
             self.others.clear()  # whose names are courses of these
             return self._learn(units)
-        if new:
-            skips: list[tuple[int, ...]] = [()] * len(new)
-            self.plain.extend(new, new, skips, *self.courses(new, skips))
-        known = self.plain.known
-        return np.fromiter(map(known.get, units, repeat(-1)), np.int64, len(units))
+        skips: list[tuple[int, ...]] = [()] * len(new)
+        self.plain.extend(new, new, skips, self.courses(new, skips))
+        course[rest] = list(map(self.plain.known.get, map(units.__getitem__, rest.tolist()), repeat(-1)))
+        return course
 
     def _turn(self, held: Courses, course: np.ndarray, at: np.ndarray) -> np.ndarray:
         """The course that leaves each course by skipping its merge `at`."""
         step = int(held is self.others)
         each, where = np.unique(course << 8 | at << 1 | step, return_inverse=True)
-        known = self.others.known
-        found = list(map(known.get, each.tolist(), repeat(-1)))
-        new = [k for k, x in enumerate(found) if x < 0]
-        if new:
+        found = np.fromiter(map(self.others.known.get, each.tolist(), repeat(-1)), np.int64, len(each))
+        new = np.flatnonzero(found < 0)
+        if len(new):
             names = each[new]
             froms = names >> 8
             codes = held.codes[held.first[froms] + (names >> 1 & 127)].tolist()
             froms = froms.tolist()
             units = list(map(held.units.__getitem__, froms))
-            skips = [(*held.skips[c], code) for c, code in zip(froms, codes)]
-            for k, x in zip(new, range(len(self.others.ids), len(self.others.ids) + len(new))):
-                found[k] = x
-            self.others.extend(names.tolist(), units, skips, *self.courses(units, skips))
-        return np.array(found, np.int64)[where]
+            skips = [(*own, code) for own, code in zip(map(held.skips.__getitem__, froms), codes)]
+            found[new] = np.arange(len(self.others.units), len(self.others.units) + len(new))
+            self.others.extend(names.tolist(), units, skips, self.courses(units, skips))
+        return found[where]
 
     def _encode(self, units: list[str], keys: np.ndarray) -> list[bytes]:
         """The ids of each occurrence of a unit, given its key."""
+        ids, n_ids = self._encode_all(units, keys)
+        data, ends = ids.tobytes(), (np.cumsum(n_ids) * 4).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+    def _encode_all(self, units: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all occurrences of units one after another, given their keys, and how many each has."""
         course = self._learn(units)
-        plain = self.plain.ids
-        out = [plain[c] for c in course.tolist()] if plain else [b""] * len(units)
-        for k in np.flatnonzero(course < 0).tolist():
-            out[k] = np.array(self.segment(units[k], int(keys[k])), "<i4").tobytes()
-        if not self.dropout:
-            return out
+        long = np.flatnonzero(course < 0)
+        extra = [self.segment(units[k], int(keys[k])) for k in long.tolist()]
         who = np.flatnonzero(course >= 0)
-        held, course, done = self.plain, course[who], np.zeros(len(who), np.int64)
-        while len(who):
+        # Where the ids of each occurrence are: those of plain courses, of others, and of long units lie end to end.
+        start, n_ids = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
+        own = course[who]
+        start[who], n_ids[who] = self.plain.id_first[own], np.diff(self.plain.id_first)[own]
+        held, course, done = self.plain, own, np.zeros(len(who), np.int64)
+        while self.dropout and len(who):
             some, at = held.skipped(course, done, keys[who], self.dropout)
             who, course, done = who[some], self._turn(held, course[some], at), at
             held = self.others
-            for k, c in zip(who.tolist(), course.tolist()):
-                out[k] = held.ids[c]
-        if len(self.others.ids) > CACHE_COURSES:
+            start[who] = len(self.plain.ids) + held.id_first[course]
+            n_ids[who] = held.id_first[course + 1] - held.id_first[course]
+        n_ids[long] = list(map(len, extra))
+        start[long] = len(self.plain.ids) + len(self.others.ids) + np.cumsum(n_ids[long]) - n_ids[long]
+        rest = np.fromiter(chain.from_iterable(extra), np.int32)
+        ids = np.concatenate([self.plain.ids, self.others.ids, rest])[_ranges(start, n_ids)]
+        if len(self.others.units) > CACHE_COURSES:
             self.others.clear()
-        return out
+        return ids, n_ids
 
     def encode(self, texts: list[str | None], salts: list[int]) -> list[np.ndarray]:
         """The ids of texts.  A text's salt and the place of a word in it are the key of the word's draws."""
@@ -355,21 +381,29 @@ class PieceCoder:
             elif text:
                 units, at, parts = (m[0] for m in self.unit.finditer(_normal(text))), 0, []
                 while part := list(islice(units, _SLICE // 4)):
-                    parts += self._encode(part, _keys(salts[k], at, len(part)))
+                    parts.append(self._encode_all(part, _keys(salts[k], at, len(part)))[0])
                     at += len(part)
-                out[k] = np.frombuffer(b"".join(parts), "<i4")
+                out[k] = np.concatenate(parts)
         lists = [self.unit.findall(_normal(texts[k])) for k in ready]
         if lists:
             keys = np.concatenate([_keys(salts[k], 0, len(units)) for k, units in zip(ready, lists)])
-            done, at = self._encode(list(chain.from_iterable(lists)), keys), 0
-            for k, units in zip(ready, lists):
-                out[k] = np.frombuffer(b"".join(done[at : at + len(units)]), "<i4")
-                at += len(units)
+            ids, n_ids = self._encode_all(list(chain.from_iterable(lists)), keys)
+            ends = np.cumsum(n_ids)[np.cumsum(list(map(len, lists))) - 1].tolist()
+            for k, a, b in zip(ready, [0, *ends], ends):
+                out[k] = ids[a:b]
         return out
 
     def decode(self, ids) -> str:
-        text = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:]  # the space that encoding puts before the text
+        return self.decode_many([np.array(ids, np.int64)])[0]
+
+    def decode_many(self, lists: list[np.ndarray]) -> list[str]:
+        """The texts of lists of ids; the caller keeps their length within what memory holds."""
+        ids = np.concatenate(lists) if lists else np.zeros(0, np.int64)
+        n = self.flat_n[ids]
+        data = self.flat[_ranges(self.flat_first[ids], n)].tobytes()
+        ends = np.r_[0, np.cumsum(n)][np.cumsum(list(map(len, lists)), dtype=np.int64)].tolist()
+        # The first character is the space that encoding puts before the text.
+        return [data[a:b].decode("utf-8", "replace")[1:] for a, b in zip([0, *ends], ends)]
 
 
 _coders: dict[tuple, PieceCoder] = remembered({})
@@ -415,9 +449,8 @@ def encode_documents(
             for texts in slices(batch["text"], _SLICE):
                 own = batch["doc_id"].iloc[at : at + len(texts)]
                 at += len(texts)
-                out = []
-                for i, text, ids in zip(own, texts, c.encode(texts, [_salt(seed, i) for i in own])):
-                    back = c.decode(ids.tolist())
+                out, encoded = [], c.encode(texts, [_salt(seed, i) for i in own])
+                for i, text, ids, back in zip(own, texts, encoded, c.decode_many(encoded)):
                     out.append((i, ids, len(ids), zlib.crc32(ids.tobytes()), back == text, zlib.crc32(back.encode())))
                 yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
 

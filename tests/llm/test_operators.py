@@ -394,6 +394,24 @@ def test_courses_are_forgotten_and_learnt_again(monkeypatch):
     assert all(np.array_equal(small.encode([t], [k])[0], w) for k, (t, w) in enumerate(zip(texts, want)))
 
 
+def test_courses_of_units_of_all_lengths():
+    """Ids and merges lie end to end in the units' order, and lists of ids are decoded in one go."""
+    c = piecedrop.PieceCoder(vocabulary("piece_bpe_32k.model"), 0.0)
+    units = ["▁the", "漢", "▁interesting", "▁", "x" * 64, "▁é😀a", "▁considerations"]
+    ids, times, codes, n_ids = c.courses(units, [()] * len(units))
+    ends = np.cumsum(n_ids)
+    assert [ids[b - n : b].tolist() for b, n in zip(ends, n_ids)] == [c.segment(u) for u in units]
+    # What a unit skips is not among its merges.
+    last = codes[np.cumsum(times) - 1].tolist()
+    skips = [(code,) if n else () for code, n in zip(last, times)]
+    shorter, n_merges, others, n_shorter = c.courses(units, skips)
+    assert all(own[0] not in x for own, x in zip(skips, np.split(others, np.cumsum(n_merges)[:-1])) if own)
+    assert sum(map(len, skips)) >= 4
+    lists = np.split(shorter, np.cumsum(n_shorter)[:-1])
+    assert c.decode_many(lists) == [u.replace("▁", " ")[1:] if u[0] == "▁" else c.decode(x) for u, x in zip(units, lists)]
+    assert c.decode_many([]) == [] and c.decode_many([ids[:0], ids[:1]]) == ["", "the"]
+
+
 def test_decode_documents(spark, sf_dir):
     docs, path = spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary("piece_bpe_32k.model")
     back = piecedrop.decode_documents(piecedrop.encode_documents(docs, path), path)
