@@ -703,6 +703,26 @@ def test_other_tokenizers_take_texts_whole(tmp_path):
     assert tokenfiles.Encoder(vocabulary("byte_bpe_50k.json")).by_unit
 
 
+def test_words_go_to_the_bpe_itself(tmp_path, monkeypatch):
+    """What is new is a word nearly always; ids are the library's while units are forgotten, and with an added word."""
+    from tokenizers import AddedToken, Tokenizer
+
+    path, rng = vocabulary("byte_bpe_50k.json"), random.Random(5)
+    model = Tokenizer.from_file(path)
+    model.add_tokens([AddedToken("ing")])
+    model.save(str(tmp_path / "added.json"))
+    parts = [*"abE.,'9é漢 \n\t", "  ", "the", "ing", "Straße", "\xa0", "\0", " \n", "'s", "..."]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(2000)]
+    monkeypatch.setattr(tokenfiles, "CACHE_ENTRIES", 300)
+    for file, direct in ((path, True), (str(tmp_path / "added.json"), False)):
+        enc, whole = tokenfiles.Encoder(file), Tokenizer.from_file(file)
+        assert enc.direct == direct
+        for k in range(0, len(texts), 100):
+            for t, ids in zip(texts[k : k + 100], enc.encode(texts[k : k + 100])):
+                assert np.frombuffer(ids, enc.dtype).tolist() == whole.encode(t, add_special_tokens=False).ids, t
+        assert enc.older and len(enc.known) <= 300
+
+
 def test_what_operators_remember_is_given_back():
     """Workers keep courses of op4 from task to task, until tasks of the near-duplicate stage need the memory."""
     from tessel.llm import common
