@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessel.llm import decontam, langid, linededup, piecedrop, quality, sharding, simhash, tokenfiles, wordmodel
+from tessel.llm import decontam, langid, linededup, piecedrop, quality, registry, sharding, simhash, tokenfiles, wordmodel
 from tessel.llm.common import vocabulary
 from tessel.llm.components import connected
 
@@ -490,6 +490,50 @@ def test_perplexities_and_bands_equal_plain_ones(spark, sf_dir):
     assert not got[91_000].kept and not got[91_000].base_failed
 
 
+def plain_perplexities(rows):
+    """doc -> log-perplexity of rows (doc, text, lang) under a modified Kneser-Ney model of all pairs, counted anew
+    for each text from the others (the ends of a text and its copies stay in the number of times a word was seen)."""
+    out = {}
+    off = lambda n, d: [0, *d][min(n, 3)]
+    for lang in {x for _, _, x in rows}:
+        copies = Counter(text for _, text, x in rows if x == lang)
+        own = {text: Counter(zip([None, *text.split()], text.split())) for text in copies}
+        pairs = Counter()
+        for text, k in copies.items():
+            pairs.update({p: n * k for p, n in own[text].items()})
+        words, before = {w for _, w in pairs}, Counter(w for _, w in pairs)
+        d1, d2 = (wordmodel.discounts([sum(v == k for v in c.values()) for k in (1, 2, 3, 4)]) for c in (before, pairs))
+        left = sum(off(n, d1) for n in before.values()) / max(1, before.total())
+        found = {}
+        for text, k in copies.items():
+            rest = {p: m for p, n in pairs.items() if (m := n - k * own[text][p])}
+            heads, contexts, counts = Counter(), Counter(), Counter({text.split()[-1]: k} if text.split() else {})
+            for (h, w), n in rest.items():
+                heads[h] += n - off(n, d2)
+                contexts[w] += 1
+                counts[w] += n
+            total = 0.0
+            for (h, w), n in own[text].items():
+                c, m = contexts[w], rest.get((h, w), 0)
+                chance = (c - off(c, d1)) / max(1, len(rest)) + left / (len(words) + 1)
+                if t := counts[h]:
+                    chance = (m - off(m, d2)) / t + (1 - heads[h] / t) * chance
+                total += n * math.log(chance)
+            found[text] = -total / max(1, own[text].total())
+        out |= {i: found[text] for i, text, x in rows if x == lang}
+    return out
+
+
+def test_no_pair_is_left_out(spark, sf_dir):
+    """Pairs seen once to four times elsewhere count, each with its own discount."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    want = plain_perplexities([(r.doc_id, r.text, r.lang) for r in docs.collect()])
+    for found in (registry.op5_perplexity(spark, sf_dir), quality.judge(docs, few=0, part_words=3000)):
+        got = {r.doc_id: r.log_perplexity for r in found.collect()}
+        assert got.keys() == want.keys()
+        assert all(math.isclose(got[i], p, abs_tol=1e-4) for i, p in want.items())
+
+
 def test_packed_keys():
     rng = np.random.default_rng(3)
     key = np.unique(rng.integers(0, 1 << 64, 1000, dtype=np.uint64))
