@@ -17,8 +17,9 @@ from tessel.operators.array import BROADCAST_BYTES, Array, _converted, is_scalar
 from tessel.operators.elementwise import conj
 from tessel.operators.reshaping import ravel
 
-#: The longest sums that are written out term by term, and the cells of a product that a task makes.
-UNROLLED, TASK_CELLS = 64, 4_000_000
+#: The longest sums that are written out term by term, the cells of a product that a task makes, an operand's rows in a
+#: block, and how many times its operands' cells a product has that is made of blocks.
+UNROLLED, TASK_CELLS, BLOCK_ROWS, BLOCK_TIMES = 64, 4_000_000, 256, 16
 
 
 def _parse(spec: str, operands: list[Array]) -> tuple[list[str], str]:
@@ -90,10 +91,23 @@ class _Term:
             rows = rows.repartition(parts, *names)
         return rows.groupBy(*names).agg(*[F.sum(F.when(F.col("place") == k, F.col("v"))).alias(f"{name}{k}") for k in range(self.cells(over))])
 
+    def _blocks(self, over: str, name: str, parts: int) -> DataFrame:
+        """The rows of `_vectors` as lists in the column `name`, in order of their values, over `parts` partitions: equal
+        rows are next to one another."""
+        rows = self._vectors(over, name)
+        keys = [f"{name}_{x}" for x in self.letters if x not in over]
+        fields = [*[c for c in rows.columns if c not in keys], *keys]
+        blocks = parts * math.ceil(self.cells() / self.cells(over) / parts / BLOCK_ROWS)
+        rows = rows.repartitionByRange(blocks, *fields).withColumn("block", F.spark_partition_id()).repartition(parts, "block")
+        return rows.groupBy("block").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name)).select(name)
+
     def product(self, other: _Term, gone: set[str], to: str) -> _Term | None:
         """`times`, summed over the shared letters `gone`, where the result has more cells than the operands: rows of
         one meet rows of the other, and a cell of the result is made in one place and not shuffled.  None where that
-        does not pay."""
+        does not pay.
+
+        Cells of a much larger result come block by block: a row of `other` meets each row of a block in turn, and equal
+        rows follow one another.  What is written of them is in runs and repetitions, which files pack."""
         over = "".join(x for x in self.letters if x in gone and x in other.letters)
         both = "".join(x for x in self.letters if x in other.letters and x not in gone)
         own = [x for x in self.letters if x not in over and x not in both]
@@ -108,11 +122,15 @@ class _Term:
         if both and not small:
             return None
         tasks = math.ceil(size / TASK_CELLS)
-        if not small:  # each part of the one meets each part of the other
-            tasks = math.ceil(tasks**0.5)
-        left, right = self._vectors(over, "a", tasks), other._vectors(over, "b", 0 if small else tasks)
-        right = F.broadcast(right) if small else right
-        met = left.join(right, [F.col(f"a_{x}") == F.col(f"b_{x}") for x in both]) if both else left.crossJoin(right)
+        if both or small and size < BLOCK_TIMES * (self.cells() + other.cells()):
+            left, right = self._vectors(over, "a", tasks), F.broadcast(other._vectors(over, "b"))
+            met = left.join(right, [F.col(f"a_{x}") == F.col(f"b_{x}") for x in both]) if both else left.crossJoin(right)
+        else:  # each part of the one meets each part of the other
+            most = [t.cells() // inner for t in (self, other)]
+            more = min(most[1], math.ceil(tasks / min(most[0], math.ceil(tasks**0.5))))
+            right = other._blocks(over, "b", more).select(F.inline("b"))
+            left = self._blocks(over, "a", min(most[0], math.ceil(tasks / more)))
+            met = left.crossJoin(right.hint("shuffle_replicate_nl")).select(*right.columns, F.inline("a"))
         wide = "bigint" if self.kind == "i" else "double"
         products = [scalar.multiply(F.col(f"a{k}").cast(to), F.col(f"b{k}").cast(to), self.kind) for k in range(inner)]
         value = sum((F.coalesce(p.cast(wide), F.lit(0).cast(wide)) for p in products[1:]), F.coalesce(products[0].cast(wide), F.lit(0).cast(wide)))

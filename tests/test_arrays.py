@@ -512,3 +512,19 @@ def test_products_larger_than_their_operands(spark, monkeypatch, small):
     np.testing.assert_array_equal(got.collect(), np.einsum("aij,jbi->ba", r, s))
     with pytest.raises(Exception, match="(?i)overflow"):
         (from_numpy(spark, np.full((9, 2), 1 << 62)) @ from_numpy(spark, np.full((2, 9), 2))).collect()
+
+
+def test_large_products_take_little_room_when_written(spark, tmp_path):
+    """Their cells come in runs and repetitions of coordinates, and equal rows of operands follow one another."""
+    import pyarrow.parquet as pq
+
+    x, y = (np.arange(120) * 7 % 11).reshape(60, 2), (np.arange(60_000) * 5 % 997).reshape(2, 30_000)
+    a, b = (t.arange(spark, 120, dtype="int64") * 7 % 11).reshape(60, 2), (t.arange(spark, 60_000, dtype="int64") * 5 % 997).reshape(2, 30_000)
+    (a @ b).relation().write.parquet(f"{tmp_path}/cells")
+    cells = pq.read_table(f"{tmp_path}/cells").to_pydict()
+    got = np.full((60, 30_000), -1)
+    got[cells["i0"], cells["i1"]] = cells["v"]
+    assert len(cells["v"]) == got.size
+    np.testing.assert_array_equal(got, x @ y)
+    assert sum(f.stat().st_size for f in (tmp_path / "cells").glob("*.parquet")) < got.size
+    np.testing.assert_array_equal((b.T @ a.T)[5:9].collect(), (x @ y).T[5:9])
