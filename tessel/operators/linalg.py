@@ -99,7 +99,8 @@ class _Term:
         fields = [*[c for c in rows.columns if c not in keys], *keys]
         blocks = parts * math.ceil(self.cells() / self.cells(over) / parts / BLOCK_ROWS)
         rows = rows.repartitionByRange(blocks, *fields).withColumn("block", F.spark_partition_id()).repartition(parts, "block")
-        return rows.groupBy("block").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name)).select(name)
+        # Parts meet in pairs: no more of them than these, also where a session repartitions more finely.
+        return rows.groupBy("block").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name)).select(name).coalesce(parts)
 
     def product(self, other: _Term, gone: set[str], to: str) -> _Term | None:
         """`times`, summed over the shared letters `gone`, where the result has more cells than the operands: rows of
